@@ -207,7 +207,7 @@ def identify(docs: DataFrame, learn=None, extra: tuple[str, ...] = (), rows: Dat
         model = {"names": ["und"], "logs": np.zeros((3 << BITS, 1), np.float32), "allowed": np.ones((SCRIPTS, 1), bool)}
     model = spark.sparkContext.broadcast(model)
     rows = docs if rows is None else rows
-    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), *extra)
+    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), *[c for c in extra if c != "text"])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     span = pa.list_(pa.struct([("lang", pa.string()), ("bytes", pa.int64())]))
     shape = "".join(f"`{c}` {kinds[c]}, " for c in ("doc_id", *extra)) + "lang_pred string, score double, spans array<struct<lang: string, bytes: bigint>>"

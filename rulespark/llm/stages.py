@@ -9,22 +9,25 @@ from .decontaminate import contamination
 from .language_id import identify
 from .near_dup import near_duplicates
 from .packing import pack, tokenised_pieces
-from .runtime import table
+from .runtime import staged, table
 from .substring_dedup import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: texts that are null or without a letter go."""
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
-    told = identify(docs, extra=("text", *columns))
-    return told.where(F.col("lang_pred") != "und").select(docs.columns)
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    told = identify(docs, rows=docs.select("doc_id", "text", others.alias("others")), extra=("text", "others"))
+    return told.where(F.col("lang_pred") != "und").select("doc_id", "text", "others.*").select(docs.columns)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where("NOT keep").groupBy("doc_id").count()
-    rest = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
-    return rest.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows without a doc_id stay; of
+    rows that share one, the distinct ones stay if any is to be kept."""
+    ids = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
+    ids = staged(ids.where("NOT keep OR n > 1"), "ids")
+    once = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    again = docs.join(ids.where("keep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return once.unionAll(again)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
