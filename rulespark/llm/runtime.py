@@ -59,3 +59,8 @@ def shuffle_width(spark: SparkSession) -> int:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` (of narrow rows) marked for broadcast if it has at most ``rows`` rows, else as it is: then it's shuffled."""
+    return F.broadcast(df) if small_enough(df, rows) else df

@@ -9,7 +9,7 @@ from .decontaminate import contamination
 from .language_id import identify
 from .near_dup import near_duplicates
 from .packing import pack, tokenised_pieces
-from .runtime import staged, table
+from .runtime import bounded, staged, table
 from .substring_dedup import remove_repeats
 
 
@@ -25,8 +25,8 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows that share one, the distinct ones stay if any is to be kept."""
     ids = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
     ids = staged(ids.where("NOT keep OR n > 1"), "ids")
-    once = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    again = docs.join(ids.where("keep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    once = docs.join(bounded(ids.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    again = docs.join(bounded(ids.where("keep").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
     return once.unionAll(again)
 
 
@@ -38,7 +38,8 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     judged = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(judged.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    hit = staged(judged.where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(bounded(hit), "doc_id", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
