@@ -68,9 +68,14 @@ def item_windows(bench: DataFrame, item_id: str, text: str) -> DataFrame:
     return flat.groupBy("x.win", "x.n").agg(F.collect_set("item").alias("items"))
 
 
+def text_key(text):
+    """What stands for a text: 128 bits of hash."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and keep_at (the
-    positions of hit words).
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, keep_at (the
+    positions of hit words), and key (``text_key``).
 
     Null texts have no words. A null item id takes part in hits but is not counted as an item. Rows that repeat are
     judged one by one; rows of one doc_id with different texts too. No items, or none with words: nothing is hit.
@@ -83,7 +88,7 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     own = staged(own, "prints")
     own = F.broadcast(own) if small_enough(own, BROADCAST_PRINTS) else own
     # a text's key stands for it: rows of equal texts are judged once
-    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    key = text_key(F.col("text"))
     seen = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), prints(w, shorts).alias("prints"))
     base = staged(rows.select("doc_id", key.alias("key"), bound(folded_words(F.col("text")), seen).alias("s")).select("doc_id", "key", "s.*"), "fingerprints")
     found = base.select("doc_id", "key", F.explode_outer("prints").alias("print")).join(own, "print", "left_semi")
@@ -92,7 +97,8 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     # exact windows of the texts that share a fingerprint; one text of each key
     lengths = sorted({*shorts, WINDOW})
     every = lambda w: F.concat(*[windows(w, F.lit(n)) for n in lengths])
-    texts = rows.withColumn("key", key).join(near, ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
+    near = near.select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
+    texts = rows.withColumn("key", key).join(near, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["key"])
     runs = texts.select("key", F.explode_outer(bound(exact_words(F.col("text")), every)).alias("x")).select("key", "x.*")
     wide = F.broadcast(wins) if small_enough(wins, BROADCAST_HITS) else wins
     met = runs.join(wide, ["win", "n"])
@@ -101,11 +107,11 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     judged = F.broadcast(judged) if small_enough(judged, BROADCAST_HITS // 20) else judged
     out = base.select("doc_id", "key", "n_words").join(judged, "key", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce(F.size("keep_at"), F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.coalesce(F.size("keep_at") > 0, F.lit(False)).alias("contaminated"), "keep_at")
+    return out.select("doc_id", "n_words", F.coalesce(F.size("keep_at"), F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.coalesce(F.size("keep_at") > 0, F.lit(False)).alias("contaminated"), "keep_at", "key")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("keep_at")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("keep_at", "key")
 
 
 SQL = r"""
