@@ -18,6 +18,7 @@ from .wordhash import LOWER, U, _C, mix, slices, words
 FIT_DOCS = 1500  # documents per language that the model is fitted on, at most
 FIT_BYTES = 20_000  # of such a document, the part from a place given by its id's hash on, at most
 BITS = 16  # of each feature table
+PART_DOCS = 1000
 PENALTY = 8.0  # nats for a switch of language
 BLOCK = 64
 SCALE = 0.5  # features of a word overlap
@@ -184,11 +185,15 @@ def judge(model: dict, col) -> tuple[list, np.ndarray, list]:
 
 def fit_on(docs: DataFrame, learn, fit_docs: int = FIT_DOCS) -> dict | None:
     """The model of the labelled rows where ``learn`` holds: FIT_DOCS documents of each language at most, picked by
-    the hash of their ids. None without any."""
+    the hash of their ids; one row of each id. None without any."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64(F.lit(5), "doc_id"))
-    ids = rows.select("doc_id", "lang", "h").withColumn("r", F.expr("row_number() over (partition by lang order by h, doc_id)")).where(F.col("r") <= fit_docs).select("doc_id").distinct()
+    # parts of at most PART_DOCS: Spark then drops what lies beyond before the shuffle, so a hot language costs no task more
+    parts = -(-fit_docs // PART_DOCS)
+    part = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(parts))
+    ids = rows.select("doc_id", "lang", "h", part.alias("part")).withColumn("r", F.expr("row_number() over (partition by lang, part order by h, doc_id)"))
+    ids = ids.where(F.col("r") <= fit_docs // parts).select("doc_id").distinct()
     begin = F.greatest(F.lit(1), F.pmod("h", F.greatest(F.lit(1), F.length("text") - FIT_BYTES // 2)) + 1).cast("int")
-    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.substring(F.col("text"), begin, F.lit(FIT_BYTES // 2)).alias("text")).toPandas()
+    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("lang", F.substring(F.col("text"), begin, F.lit(FIT_BYTES // 2)).alias("text")).toPandas()
     return fit(picked["text"].tolist(), picked["lang"].tolist()) if len(picked) else None
 
 
