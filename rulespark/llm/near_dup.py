@@ -22,6 +22,8 @@ SIMILARITY = 0.8
 K, ROWS = 64, 4  # coordinates, and how many make a band: 16 bands find a pair of similarity 0.8 with 0.9998
 ROUNDS = 2
 BROADCAST_IDS = 1_000_000
+HEAVY = 1000  # a bucket of more than one in HEAVY of all rows is heavy: there are fewer than HEAVY of these
+SALTS = 64  # tasks that the rows of a heavy bucket are spread over
 
 
 def dart_minhash(e: np.ndarray, ranges: np.ndarray, k: int = K) -> np.ndarray:
@@ -97,7 +99,24 @@ def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def bucket_pairs(rows: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
+def shared_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """bucket and size of the buckets of ``rows`` that hold more than one, and the heavy ones of these."""
+    sizes = staged(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return sizes, sizes.where(F.col("size") > total / HEAVY).select("bucket")
+
+
+def meet(rows: DataFrame, side: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Join of ``rows`` (bucket, key) and ``side`` on bucket. Rows of ``heavy`` buckets are spread by key over SALTS
+    tasks, each with a copy of the bucket's few rows of ``side``."""
+    marks = F.broadcast(heavy.select("bucket", F.lit(True).alias("heavy")))
+    salted = rows.join(marks, "bucket", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("heavy")
+    copies = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    other = side.join(marks, "bucket", "left").withColumn("salt", F.explode(copies)).drop("heavy")
+    return salted.join(other, ["bucket", "salt"]).drop("salt")
+
+
+def bucket_pairs(rows: DataFrame, heavy: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
     """Pairs (a, b) to compare: every member of a bucket with the bucket's leaders, never all with all.
 
     Leaders are the member that shares most buckets with others (in a group of edited copies, what they were copied
@@ -111,7 +130,7 @@ def bucket_pairs(rows: DataFrame, roots: DataFrame | None, turn: int, similarity
         rows = rows.withColumn("root", F.col("key"))
     me = F.struct("key", "n", "root")
     lead = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.max_by(me, F.struct("weight", "key")).alias("first"), F.max_by(me, F.xxhash64("key", "bucket", F.lit(turn + 100))).alias("second")).where("size > 1")
-    met = rows.join(lead.select("bucket", F.explode(F.array("first", "second")).alias("l")), "bucket").where("root <> l.root")
+    met = meet(rows, lead.select("bucket", F.explode(F.array("first", "second")).alias("l")), heavy).where("root <> l.root")
     near = met.where((F.least("n", "l.n") >= similarity * F.greatest("n", "l.n")))
     return near.select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
 
@@ -131,13 +150,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     full = sketch.where("n > 0")
     reps = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = reps.select("key", "n", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, "bucket")
+    sizes, heavy = shared_buckets(rows)
+    rows = meet(rows, sizes, heavy)
     weight = rows.groupBy("key").agg(F.sum("size").alias("weight"))
     rows = staged(rows.join(weight, "key").select("bucket", "key", "n", "weight"), "buckets")
     links, roots, sets = None, None, None
     for turn in range(ROUNDS):
-        pairs = staged(bucket_pairs(rows, roots, turn, similarity), "pairs")
+        pairs = staged(bucket_pairs(rows, heavy, roots, turn, similarity), "pairs")
         if links is not None and not pairs.limit(1).count():
             break
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .near_dup import SHINGLE, SIMILARITY, bands, bucket_pairs, similar_links
+from .near_dup import SHINGLE, SIMILARITY, bands, bucket_pairs, meet, shared_buckets, similar_links
 from .runtime import ship, small_enough, staged, table
 from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed, slices, words
 
@@ -88,10 +88,10 @@ def _units(batches):
     for batch in batches:
         for lo, hi, data, offs in slices(batch.column("text")):
             (row, begin, end, n, key, line), b, _, _ = units(data, offs)
-            ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
+            ids, texts = (batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("doc_id", "text_hash"))
             turns = np.concatenate([np.arange(len(b) + 1) * BANDS, np.full(len(row) - len(b), len(b) * BANDS)])
             base = offs[row]
-            yield pa.RecordBatch.from_arrays([ids, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(line), lists(signed(b.ravel()), turns)], ["doc_id", "begin", "end", "n", "key", "line", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(line), lists(signed(b.ravel()), turns)], ["doc_id", "text_hash", "begin", "end", "n", "key", "line", "bands"])
 
 
 def _line_sets(batches):
@@ -103,7 +103,7 @@ def _line_sets(batches):
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Occurrences of passages that more than one document holds: doc_id, begin, end (bytes of the UTF-8 text), n_words,
-    passage (id of the component), first_doc, removed.
+    passage (id of the component), first_doc, text_hash (xxhash64 of the text, telling rows of one id apart), removed.
 
     Occurrences in the document of the smallest id (first_doc) are not removed, all others are. Rows of one doc_id are
     one document; rows of null id count together as one document after all others. Null and empty texts hold no
@@ -111,17 +111,18 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     """
     ship(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = staged(plain.mapInArrow(_units, "doc_id long, begin int, end int, n int, key long, line boolean, bands array<long>"), "units")
+    plain = plain.withColumn("text_hash", F.xxhash64("text"))
+    found = staged(plain.mapInArrow(_units, "doc_id long, text_hash long, begin int, end int, n int, key long, line boolean, bands array<long>"), "units")
     # paragraphs, one for each wording
     reps = found.where("line").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = staged(reps, "paragraphs")
     rows = reps.select("key", "n", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, "bucket")
+    sizes, heavy = shared_buckets(rows)
+    rows = meet(rows, sizes, heavy)
     rows = staged(rows.join(rows.groupBy("key").agg(F.sum("size").alias("weight")), "key").select("bucket", "key", "n", "weight"), "buckets")
     links, roots = None, None
     for turn in range(ROUNDS):
-        pairs = staged(bucket_pairs(rows, roots, turn, similarity), "pairs")
+        pairs = staged(bucket_pairs(rows, heavy, roots, turn, similarity), "pairs")
         if links is not None and not pairs.limit(1).count():
             break
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -140,9 +141,9 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     linked = held.where("root IS NOT NULL").select("key", "passage", "low", "high")
     spans = linked.groupBy("passage").agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
     chosen = alone.unionAll(linked.join(spans, "passage").select("key", "passage", "first_doc"))
-    out = found.select("doc_id", "begin", "end", "n", "key").join(staged(chosen, "passages"), "key")
+    out = found.select("doc_id", "text_hash", "begin", "end", "n", "key").join(staged(chosen, "passages"), "key")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), (F.col("doc_id") != F.col("first_doc")).alias("removed"))
+    return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), "text_hash", (F.col("doc_id") != F.col("first_doc")).alias("removed"))
 
 
 def _cut_out(batches):
@@ -164,11 +165,11 @@ def _cut_out(batches):
 
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text and any columns) without the removed passages; every row stays, n_chars (if there) is
-    counted anew. Repeated rows lose the same passages."""
+    counted anew. Repeated rows lose the same passages; rows of one id but other texts, null ids too, each their own."""
     ship(docs.sparkSession)
-    gone = repeats(docs, similarity).where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    gone = gone.withColumnRenamed("doc_id", "__id")
-    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    gone = repeats(docs, similarity).where("removed").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    rows = docs.join(gone, own, "left").drop("__id", "__hash")
     out = rows.mapInArrow(_cut_out, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
