@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from rulespark.llm import decontaminate, language_id, lm_score, near_dup, packing, sharding, substring_dedup, toxicity, url_filter, vector_search
+from rulespark.llm import decontaminate, language_id, lm_score, near_dup, packing, sharding, stages, substring_dedup, toxicity, url_filter, vector_search
 
 TEXTS = [None, "", "!!! ...", "one", "The quick brown fox jumps over the lazy dog today", "Élan Ñu\x0bx", "a " * 3000]
 
@@ -156,6 +156,10 @@ def test_substrings(spark, odd, none):
     assert passage in left[0] and all(passage not in left[i] for i in range(1, 10)) and left[20] == texts[20]
     assert substring_dedup.repeats(none).count() == 0
     assert substring_dedup.remove_repeats(odd).count() == odd.count()
+    # rows without id lose passages of their own texts only
+    apart = spark.createDataFrame([(1, passage), (None, texts[1] + "\n" + passage), (None, texts[2]), (None, passage + "\n" + texts[3])], "doc_id long, text string")
+    left = sorted(r["text"].strip() for r in substring_dedup.remove_repeats(apart).collect())
+    assert left == sorted([passage, texts[1], texts[2], texts[3]])
 
 
 def test_vectors(spark):
@@ -173,13 +177,18 @@ def test_vectors(spark):
     assert vector_search.nearest(df.limit(0)).count() == 0
 
 
-def test_decontamination(spark, odd, none):
+def test_decontamination(spark, odd, none, tmp_path):
     items = [(1, " ".join(f"w{i}" for i in range(14))), (2, "Short Item"), (3, None), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([(0, "x W1, w2 w3 w4 w5 w6 w7 w8 w9 w10 y"), (1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 z"), (2, "a short-item b"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, bench).collect()}
     assert got == {0: (12, 10, 1), 1: (10, 0, 0), 2: (4, 2, 1), 3: (0, 0, 0)}
     assert decontaminate.contamination(none, bench).count() == 0
+    # a stage judges rows by their texts: ids may be null or repeat
+    bench.write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "x w1 w2 w3 w4 w5 w6 w7 w8 w9 w10", 1), (None, "clean", 2), (7, "a short item b", 3), (7, "also clean", 4), (8, None, 5)]
+    left = stages.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string, source long"), str(tmp_path))
+    assert sorted(r["source"] for r in left.collect()) == [2, 4, 5] and left.columns == ["doc_id", "text", "source"]
     assert decontaminate.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
