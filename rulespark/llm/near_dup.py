@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     reps = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = reps.select("key", "n", F.explode("bands").alias("bucket"))
     sizes, heavy = shared_buckets(rows)
-    rows = meet(rows, sizes, heavy)
+    rows = staged(meet(rows, sizes, heavy), "shared")  # read twice below
     weight = rows.groupBy("key").agg(F.sum("size").alias("weight"))
     rows = staged(rows.join(weight, "key").select("bucket", "key", "n", "weight"), "buckets")
     links, roots, sets = None, None, None

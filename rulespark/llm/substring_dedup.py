@@ -118,7 +118,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     reps = staged(reps, "paragraphs")
     rows = reps.select("key", "n", F.explode("bands").alias("bucket"))
     sizes, heavy = shared_buckets(rows)
-    rows = meet(rows, sizes, heavy)
+    rows = staged(meet(rows, sizes, heavy), "shared")  # read twice below
     rows = staged(rows.join(rows.groupBy("key").agg(F.sum("size").alias("weight")), "key").select("bucket", "key", "n", "weight"), "buckets")
     links, roots = None, None
     for turn in range(ROUNDS):
