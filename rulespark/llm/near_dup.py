@@ -106,14 +106,15 @@ def shared_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sizes, sizes.where(F.col("size") > total / HEAVY).select("bucket")
 
 
-def meet(rows: DataFrame, side: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Join of ``rows`` (bucket, key) and ``side`` on bucket. Rows of ``heavy`` buckets are spread by key over SALTS
-    tasks, each with a copy of the bucket's few rows of ``side``."""
-    marks = F.broadcast(heavy.select("bucket", F.lit(True).alias("heavy")))
-    salted = rows.join(marks, "bucket", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("heavy")
+def meet(rows: DataFrame, side: DataFrame, heavy: DataFrame, on: str = "bucket", spread: str = "key", how: str = "inner") -> DataFrame:
+    """Join of ``rows`` and ``side`` (few rows for each value) on a column. Rows of ``heavy`` values, and of null, are
+    spread by another column over SALTS tasks, each with a copy of the value's rows of ``side``."""
+    marks = F.broadcast(heavy.select(on, F.lit(True).alias("heavy")))
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    salted = rows.join(marks, on, "left").withColumn("salt", F.when(F.col("heavy") | F.col(on).isNull(), salt).otherwise(0)).drop("heavy")
     copies = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    other = side.join(marks, "bucket", "left").withColumn("salt", F.explode(copies)).drop("heavy")
-    return salted.join(other, ["bucket", "salt"]).drop("salt")
+    other = side.join(marks, on, "left").withColumn("salt", F.explode(copies)).drop("heavy")
+    return salted.join(other, [on, "salt"], how).drop("salt")
 
 
 def bucket_pairs(rows: DataFrame, heavy: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
@@ -148,6 +149,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = staged(plain.mapInArrow(_sketch, "doc_id long, key long, n long, bands array<long>"), "sketch")
     full = sketch.where("n > 0")
+    copied = staged(full.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "copied")
+    copied = copied.where(F.col("size") > (copied.agg(F.sum("size")).first()[0] or 0) / HEAVY)
     reps = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = reps.select("key", "n", F.explode("bands").alias("bucket"))
     sizes, heavy = shared_buckets(rows)
@@ -173,7 +176,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     label = reps.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     label = label.join(least, "root").join(degree, "key", "left").select("key", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sketch.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key"), F.monotonically_increasing_id().alias("turn")).join(label, "key", "left")
+    out = sketch.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key"), F.monotonically_increasing_id().alias("turn"))
+    out = meet(out, label, copied, "key", "turn", "left")
     out = staged(out, "labelled")
     kept = out.where("key IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "turn"))["turn"].alias("turn"))
     out = out.join(kept.select("turn", F.lit(True).alias("kept")), "turn", "left")
