@@ -20,7 +20,7 @@ from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed,
 SHINGLE = 5
 SIMILARITY = 0.8
 K, ROWS = 64, 4  # coordinates, and how many make a band: 16 bands find a pair of similarity 0.8 with 0.9998
-ROUNDS = 2
+LEADERS = 16  # members of a bucket that its others meet in the first turn of the rest; twice as many in each later turn
 BROADCAST_IDS = 1_000_000
 HEAVY = 1000  # a bucket of more than one in HEAVY of all rows is heavy: there are fewer than HEAVY of these
 SALTS = 64  # tasks that the rows of a heavy bucket are spread over
@@ -92,8 +92,12 @@ def _sets(batches):
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of at least that Jaccard similarity of their ``sets`` (key, items)."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
+    """The ``pairs`` (a, b; a staged table) of at least that Jaccard similarity of their ``sets`` (key, items). A key of
+    many pairs is spread over tasks."""
+    hot = lambda c: pairs.groupBy(c).agg(F.count("*").alias("size")).where(F.col("size") > total / HEAVY)
+    total = pairs.count()
+    x, y = (sets.select(F.col("key").alias(c), F.col("items").alias(i)) for c, i in (("a", "x"), ("b", "y")))
+    both = meet(meet(pairs, x, hot("a"), "a", "b"), y, hot("b"), "b", "a")
     # the sets are of distinct elements; 32 bits of a hash may still repeat
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -117,25 +121,68 @@ def meet(rows: DataFrame, side: DataFrame, heavy: DataFrame, on: str = "bucket",
     return salted.join(other, [on, "salt"], how).drop("salt")
 
 
-def bucket_pairs(rows: DataFrame, heavy: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) to compare: every member of a bucket with the bucket's leaders, never all with all.
+def leader_pairs(rows: DataFrame, heavy: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of every member of a bucket with the bucket's two leaders: the member that shares most buckets with
+    others (in a group of edited copies, what they were copied from) and one picked by a hash, another in every bucket.
+    ``rows``: bucket, key, n, weight."""
+    me = F.struct("key", "n")
+    lead = rows.groupBy("bucket").agg(F.max_by(me, F.struct("weight", "key")).alias("first"), F.max_by(me, F.xxhash64("key", "bucket")).alias("second"))
+    met = meet(rows, lead.select("bucket", F.explode(F.array("first", "second")).alias("l")), heavy).where("key <> l.key")
+    return ordered(met, similarity)
 
-    Leaders are the member that shares most buckets with others (in a group of edited copies, what they were copied
-    from) and one picked by a hash, another in every bucket. With ``roots``, members already in one component count as
-    one, and only leaders of other components are met. ``rows``: bucket, key, n, weight.
-    """
-    if roots is not None:
-        rows = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        rows = rows.groupBy("bucket", "root").agg(F.max_by(F.struct("key", "n", "weight"), F.xxhash64("key", "bucket", F.lit(turn))).alias("m")).select("bucket", "root", "m.*")
-    else:
-        rows = rows.withColumn("root", F.col("key"))
-    me = F.struct("key", "n", "root")
-    lead = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.max_by(me, F.struct("weight", "key")).alias("first"), F.max_by(me, F.xxhash64("key", "bucket", F.lit(turn + 100))).alias("second")).where("size > 1")
-    met = meet(rows, lead.select("bucket", F.explode(F.array("first", "second")).alias("l")), heavy).where("root <> l.root")
-    near = met.where((F.least("n", "l.n") >= similarity * F.greatest("n", "l.n")))
+
+def ordered(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) with a < b of rows (key, n, l), less those whose sizes rule the similarity out."""
+    near = met.where(F.least("n", "l.n") >= similarity * F.greatest("n", "l.n"))
     return near.select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
 
 
+def unsettled(rows: DataFrame, heavy: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``rows`` (bucket, key, n, part) of buckets with members of several components, with their root."""
+    rows = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = staged(rows.select("bucket", "key", "n", "part", "root"), "rooted")
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return staged(meet(rows, several, heavy), "unsettled")
+
+
+def rest_pairs(rows: DataFrame, heavy: DataFrame, high: int, similarity: float) -> DataFrame:
+    """Pairs of members of one bucket and several components, one of a part below ``high``."""
+    lead = rows.where(F.col("part") < high).select("bucket", F.struct("key", "n", "part", "root").alias("l"))
+    met = meet(rows, lead, heavy).where("root <> l.root AND (part > l.part OR part = l.part AND key > l.key)")
+    return ordered(met, similarity)
+
+
+def linked(rows: DataFrame, heavy: DataFrame, load_sets, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """links (a, b) and roots (node, root) of ``rows`` (bucket, key, n, weight, size), members of shared buckets.
+
+    First, members meet the leaders of their buckets, which joins large groups of copies without their pairs. Then
+    all pairs of a bucket follow that lie in different components still, so no two members of a bucket are left
+    uncompared unless they are in one component anyway: a bucket is split by hash into parts of about LEADERS members,
+    and turn by turn all of it meets the members of the next parts, twice as many in each turn. ``load_sets`` gives the
+    sets (key, items) of pairs.
+    """
+    pairs = staged(leader_pairs(rows, heavy, similarity), "pairs")
+    done = pairs
+    links = staged(similar_links(pairs, load_sets(pairs), similarity), "links")
+    roots = components(links)
+    # of two or fewer members, all have met
+    rest = rows.where("size > 2").withColumn("part", F.pmod(F.xxhash64("key", "bucket", F.lit(1)), F.ceil(F.col("size") / LEADERS)))
+    low, high = 0, 1
+    while True:
+        rest = unsettled(rest.where(F.col("part") >= low), heavy, roots)
+        if not rest.limit(1).count():
+            return links, roots
+        pairs = staged(rest_pairs(rest, heavy, high, similarity).join(done, ["a", "b"], "left_anti"), "pairs")
+        rest = rest.drop("root")
+        if pairs.limit(1).count():
+            done = done.unionAll(pairs)
+            found = staged(similar_links(pairs, load_sets(pairs), similarity), "links")
+            if found.limit(1).count():
+                links = staged(links.unionAll(found), "links")
+                roots = components(links)
+        low, high = high, 2 * high + 1
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links, keep of each row of ``docs``.
 
@@ -156,22 +203,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     sizes, heavy = shared_buckets(rows)
     rows = staged(meet(rows, sizes, heavy), "shared")  # read twice below
     weight = rows.groupBy("key").agg(F.sum("size").alias("weight"))
-    rows = staged(rows.join(weight, "key").select("bucket", "key", "n", "weight"), "buckets")
-    links, roots, sets = None, None, None
-    for turn in range(ROUNDS):
-        pairs = staged(bucket_pairs(rows, heavy, roots, turn, similarity), "pairs")
-        if links is not None and not pairs.limit(1).count():
-            break
+    rows = staged(rows.join(weight, "key").select("bucket", "key", "n", "weight", "size"), "buckets")
+
+    def load_sets(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        ids = reps.join(wanted, "key").select("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-        ids = staged(ids, "wanted")
+        ids = staged(reps.join(wanted, "key").select("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id")), "wanted")
         small = small_enough(ids, BROADCAST_IDS)
-        side = lambda c: F.broadcast(ids.select(c).distinct()) if small else ids.select(c).distinct()  # noqa: B023, E731
+        side = lambda c: F.broadcast(ids.select(c).distinct()) if small else ids.select(c).distinct()
         texts = plain.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(side("id"), "id", "left_semi").select("text")
-        sets = texts.mapInArrow(_sets, "key long, items array<int>").join(side("key"), "key", "left_semi").dropDuplicates(["key"])
-        found = staged(similar_links(pairs, staged(sets, "sets"), similarity), "links")
-        links = found if links is None else staged(links.unionAll(found).distinct(), "links")
-        roots = components(links)
+        sets = texts.mapInArrow(_sets, "key long, items array<int>").join(side("key"), "key", "left_semi")
+        return staged(sets.dropDuplicates(["key"]), "sets")
+
+    links, roots = linked(rows, heavy, load_sets, similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     label = reps.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("class_id"))

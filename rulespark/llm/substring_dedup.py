@@ -14,14 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
-from .near_dup import SHINGLE, SIMILARITY, bands, bucket_pairs, meet, shared_buckets, similar_links
+from .near_dup import SHINGLE, SIMILARITY, bands, linked, meet, shared_buckets
 from .runtime import ship, small_enough, staged, table
 from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed, slices, words
 
 MIN_LINE, CUT_LINE, MIN_PIECE, REACH = 20, 40, 8, 5
 BANDS, ROWS = 8, 3  # find a pair of similarity 0.8 with 0.997
-ROUNDS = 2
 NO_ID = 2**63 - 1
 BROADCAST_IDS = 1_000_000
 
@@ -119,28 +117,25 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     rows = reps.select("key", "n", F.explode("bands").alias("bucket"))
     sizes, heavy = shared_buckets(rows)
     rows = staged(meet(rows, sizes, heavy), "shared")  # read twice below
-    rows = staged(rows.join(rows.groupBy("key").agg(F.sum("size").alias("weight")), "key").select("bucket", "key", "n", "weight"), "buckets")
-    links, roots = None, None
-    for turn in range(ROUNDS):
-        pairs = staged(bucket_pairs(rows, heavy, roots, turn, similarity), "pairs")
-        if links is not None and not pairs.limit(1).count():
-            break
+    rows = staged(rows.join(rows.groupBy("key").agg(F.sum("size").alias("weight")), "key").select("bucket", "key", "n", "weight", "size"), "buckets")
+
+    def load_sets(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         ids = staged(reps.join(wanted, "key").select("key", "doc_id"), "wanted")
         small = small_enough(ids, BROADCAST_IDS)
-        side = lambda c: F.broadcast(ids.select(c).distinct()) if small else ids.select(c).distinct()  # noqa: B023, E731
+        side = lambda c: F.broadcast(ids.select(c).distinct()) if small else ids.select(c).distinct()
         texts = plain.join(side("doc_id"), "doc_id", "left_semi").select("text")
-        sets = staged(texts.mapInArrow(_line_sets, "key long, items array<int>").join(side("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
-        more = staged(similar_links(pairs, sets, similarity), "links")
-        links = more if links is None else staged(links.unionAll(more).distinct(), "links")
-        roots = components(links)
+        sets = texts.mapInArrow(_line_sets, "key long, items array<int>").join(side("key"), "key", "left_semi")
+        return staged(sets.dropDuplicates(["key"]), "sets")
+
+    _, roots = linked(rows, heavy, load_sets, similarity)
     # wordings that more than one document holds, alone or through a component
     held = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     held = held.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("passage", F.coalesce("root", "key"))
     alone = held.where("root IS NULL AND low < high").select("key", "passage", F.col("low").alias("first_doc"))
-    linked = held.where("root IS NOT NULL").select("key", "passage", "low", "high")
-    spans = linked.groupBy("passage").agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
-    chosen = alone.unionAll(linked.join(spans, "passage").select("key", "passage", "first_doc"))
+    joined = held.where("root IS NOT NULL").select("key", "passage", "low", "high")
+    spans = joined.groupBy("passage").agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
+    chosen = alone.unionAll(joined.join(spans, "passage").select("key", "passage", "first_doc"))
     out = found.select("doc_id", "text_hash", "begin", "end", "n", "key").join(staged(chosen, "passages"), "key")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), "text_hash", (F.col("doc_id") != F.col("first_doc")).alias("removed"))

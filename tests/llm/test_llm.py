@@ -145,6 +145,15 @@ def test_near_duplicates(spark, odd, none):
     assert len(rows) == odd.count() and sum(r["keep"] for r in rows if r["class_id"] == 4) == 1
 
 
+def test_no_pair_of_a_bucket_is_missed(spark):
+    """One bucket of 90 pairs that are similar to each other alone: leaders alone would find few of them."""
+    sets = spark.createDataFrame([(k, [1000 * (k // 2) + j for j in range(19 + k % 2)]) for k in range(180)], "key long, items array<int>")
+    rows = spark.createDataFrame([(7, k, 20, 180, 180) for k in range(180)] + [(8, k, 20, 180, 3) for k in range(3)], "bucket long, key long, n long, weight long, size long")
+    links, roots = near_dup.linked(rows, rows.select("bucket").limit(1), lambda pairs: sets, 0.8)
+    assert sorted(map(tuple, links.collect())) == [(k, k + 1) for k in range(0, 180, 2)]
+    assert {r["node"]: r["root"] for r in roots.collect()} == {k: k - k % 2 for k in range(180)}
+
+
 def test_substrings(spark, odd, none):
     passage = " ".join(f"p{i}" for i in range(52))
     texts = corpus(40)
