@@ -20,7 +20,6 @@ from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed,
 SHINGLE = 5
 SIMILARITY = 0.8
 K, ROWS = 64, 4  # coordinates, and how many make a band: 16 bands find a pair of similarity 0.8 with 0.9998
-LEADERS = 16  # members of a bucket that its others meet in the first turn of the rest; twice as many in each later turn
 BROADCAST_IDS = 1_000_000
 HEAVY = 1000  # a bucket of more than one in HEAVY of all rows is heavy: there are fewer than HEAVY of these
 SALTS = 64  # tasks that the rows of a heavy bucket are spread over
@@ -94,10 +93,8 @@ def _sets(batches):
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b; a staged table) of at least that Jaccard similarity of their ``sets`` (key, items). A key of
     many pairs is spread over tasks."""
-    hot = lambda c: pairs.groupBy(c).agg(F.count("*").alias("size")).where(F.col("size") > total / HEAVY)
-    total = pairs.count()
     x, y = (sets.select(F.col("key").alias(c), F.col("items").alias(i)) for c, i in (("a", "x"), ("b", "y")))
-    both = meet(meet(pairs, x, hot("a"), "a", "b"), y, hot("b"), "b", "a")
+    both = meet(meet(pairs, x, hot(pairs, "a"), "a", "b"), y, hot(pairs, "b"), "b", "a")
     # the sets are of distinct elements; 32 bits of a hash may still repeat
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -138,49 +135,60 @@ def ordered(met: DataFrame, similarity: float) -> DataFrame:
 
 
 def unsettled(rows: DataFrame, heavy: DataFrame, roots: DataFrame) -> DataFrame:
-    """The ``rows`` (bucket, key, n, part) of buckets with members of several components, with their root."""
+    """key, root of the members of buckets that hold several components."""
     rows = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rows = staged(rows.select("bucket", "key", "n", "part", "root"), "rooted")
+    rows = staged(rows.select("bucket", "key", "root"), "rooted")
     several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return staged(meet(rows, several, heavy), "unsettled")
+    return staged(meet(rows, several, heavy).select("key", "root").distinct(), "unsettled")
 
 
-def rest_pairs(rows: DataFrame, heavy: DataFrame, high: int, similarity: float) -> DataFrame:
-    """Pairs of members of one bucket and several components, one of a part below ``high``."""
-    lead = rows.where(F.col("part") < high).select("bucket", F.struct("key", "n", "part", "root").alias("l"))
-    met = meet(rows, lead, heavy).where("root <> l.root AND (part > l.part OR part = l.part AND key > l.key)")
-    return ordered(met, similarity)
+def hot(rows: DataFrame, on: str) -> DataFrame:
+    """Values of more than one in HEAVY of the rows of a staged table."""
+    return rows.groupBy(on).agg(F.count("*").alias("size")).where(F.col("size") > rows.count() / HEAVY).select(on)
+
+
+def prefix_pairs(sets: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), of different roots, of ``sets`` (key, items) that may reach the similarity: all that do, and few more.
+
+    Elements have one order: those of a single root first, then rare ones before common ones. Similar sets x and y hold
+    c = similarity / (1 + similarity) * (x + y) elements in common, so their first common one leaves at least c - 1
+    behind it in both. Only such places of elements are kept and joined. ``keys``: key, root.
+    """
+    each = sets.join(keys, "key").select("key", "root", F.size("items").alias("n"), F.explode(F.array_distinct("items")).alias("e"))
+    each = staged(each, "elements")
+    shared = each.groupBy("e").agg(F.count("*").alias("df"), F.min("n").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("e", "df", "least")
+    shared = staged(shared, "shared")
+    held = meet(each, shared, shared.where(F.col("df") > each.count() / HEAVY).select("e"), "e")
+    held = held.groupBy("key", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e", "least"))).alias("own"))
+    held = held.select("key", "root", "n", F.size("own").alias("m"), F.posexplode("own").alias("at", "x"))
+    part = similarity / (1 + similarity)
+    left = F.col("m") - F.col("at")  # no more elements than these can be common with another root
+    held = held.select("key", "root", "n", "x.e", "x.least", left.alias("left"))
+    held = held.where(F.col("left") >= part * (F.col("n") + F.greatest("least", F.ceil(similarity * F.col("n")))) - 1e-6)
+    held = staged(held.drop("least"), "places")
+    several = held.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("e")
+    held = staged(meet(held, several, hot(held, "e"), "e"), "several")
+    other = held.select("e", F.struct("key", "root", "n", "left").alias("l"))
+    met = meet(held, other, hot(held, "e"), "e")
+    return ordered(met.where(F.expr("root <> l.root AND key > l.key") & (F.least("left", "l.left") >= part * (F.col("n") + F.col("l.n")) - 1e-6)), similarity)
 
 
 def linked(rows: DataFrame, heavy: DataFrame, load_sets, similarity: float) -> tuple[DataFrame, DataFrame]:
     """links (a, b) and roots (node, root) of ``rows`` (bucket, key, n, weight, size), members of shared buckets.
 
-    First, members meet the leaders of their buckets, which joins large groups of copies without their pairs. Then
-    all pairs of a bucket follow that lie in different components still, so no two members of a bucket are left
-    uncompared unless they are in one component anyway: a bucket is split by hash into parts of about LEADERS members,
-    and turn by turn all of it meets the members of the next parts, twice as many in each turn. ``load_sets`` gives the
-    sets (key, items) of pairs.
+    First, members meet the leaders of their buckets, which joins large groups of copies without their pairs. Then the
+    members of buckets that still hold several components are joined by ``prefix_pairs``: no similar two of them are
+    left apart, whether they met a leader or not. ``load_sets`` gives the sets (key, items) of pairs.
     """
     pairs = staged(leader_pairs(rows, heavy, similarity), "pairs")
-    done = pairs
     links = staged(similar_links(pairs, load_sets(pairs), similarity), "links")
     roots = components(links)
     # of two or fewer members, all have met
-    rest = rows.where("size > 2").withColumn("part", F.pmod(F.xxhash64("key", "bucket", F.lit(1)), F.ceil(F.col("size") / LEADERS)))
-    low, high = 0, 1
-    while True:
-        rest = unsettled(rest.where(F.col("part") >= low), heavy, roots)
-        if not rest.limit(1).count():
-            return links, roots
-        pairs = staged(rest_pairs(rest, heavy, high, similarity).join(done, ["a", "b"], "left_anti"), "pairs")
-        rest = rest.drop("root")
-        if pairs.limit(1).count():
-            done = done.unionAll(pairs)
-            found = staged(similar_links(pairs, load_sets(pairs), similarity), "links")
-            if found.limit(1).count():
-                links = staged(links.unionAll(found), "links")
-                roots = components(links)
-        low, high = high, 2 * high + 1
+    rest = unsettled(rows.where("size > 2"), heavy, roots)
+    sets = load_sets(rest.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    more = staged(prefix_pairs(sets, rest, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = staged(links.unionAll(similar_links(more, sets, similarity)), "links")
+    return links, components(links)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
