@@ -4,7 +4,7 @@ A paragraph is a line of at least MIN_LINE words. Lines that share a band of Min
 Jaccard similarity of their five-word shingles, and linked lines form components. Lines of more than CUT_LINE words are
 also cut where a hash of two words is lowest among its neighbours, so a passage inside a longer line is cut alike
 wherever it stands; such pieces are compared by their words alone. Of a component that spans documents, the occurrences
-in the document of the smallest id stay.
+in the document of the smallest id stay. Runs of words that documents share over line breaks are found by ``common_runs``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common_runs import common_runs
 from .near_dup import SHINGLE, SIMILARITY, bands, linked, meet, shared_buckets
 from .runtime import ship, small_enough, staged, table
 from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed, slices, words
@@ -105,7 +106,8 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
 
     Occurrences in the document of the smallest id (first_doc) are not removed, all others are. Rows of one doc_id are
     one document; rows of null id count together as one document after all others. Null and empty texts hold no
-    passages, nor do lines under MIN_LINE words. An empty table gives no rows.
+    passages. Lines of at least MIN_LINE words are compared whole; besides, every run of at least common_runs.RUN words
+    that documents share is reported, wherever lines break. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -136,7 +138,8 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     joined = held.where("root IS NOT NULL").select("key", "passage", "low", "high")
     spans = joined.groupBy("passage").agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
     chosen = alone.unionAll(joined.join(spans, "passage").select("key", "passage", "first_doc"))
-    out = found.select("doc_id", "text_hash", "begin", "end", "n", "key").join(staged(chosen, "passages"), "key")
+    out = found.select("doc_id", "text_hash", "begin", "end", "n", "key").join(staged(chosen, "passages"), "key").drop("key")
+    out = out.unionByName(common_runs(plain))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), "text_hash", (F.col("doc_id") != F.col("first_doc")).alias("removed"))
 

@@ -216,3 +216,32 @@ def test_lm_scores(spark, odd, none):
         assert r["score"] < 0
     assert lm_score.score_texts(none).count() == 0
     assert lm_score.score_texts(odd).count() == odd.count()
+
+
+def spans_of(got):
+    """Byte ranges reported for each document."""
+    out = collections.defaultdict(list)
+    for r in got:
+        out[r["doc_id"]].append((r["begin"], r["end"], r["first_doc"]))
+    return out
+
+
+def test_passage_over_short_lines(spark):
+    """A passage of 50 words over lines of 5 to 13 words is reported whole, however its lines break."""
+    rng, own = random.Random(5), [t.split() for t in corpus(6, seed=9)]
+    passage = [f"p{i}" for i in range(50)]
+
+    def broken(w, least, most):
+        lines, at = [], 0
+        while at < len(w):
+            n = rng.randint(least, most)
+            lines.append(" ".join(w[at : at + n]))
+            at += n
+        return "\n".join(lines)
+
+    texts = [broken(o[:30] + passage + o[30:], 5, 13) for o in own]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = spans_of(substring_dedup.repeats(docs).collect())
+    for i, t in enumerate(texts):
+        assert {w for b, e, _ in got[i] for w in words(t[b:e])} == set(passage)
+        assert {f for _, _, f in got[i]} == {0}
