@@ -8,12 +8,14 @@ No pairs of documents are made: a window is compared with its first holder only,
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dup import HEAVY, hot, meet
+from .near_dup import HEAVY, SHINGLE, SIMILARITY, hot, meet
 from .runtime import small_enough, staged
 from .wordhash import shingles, signed, slices, words
 
@@ -69,7 +71,29 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(signed(s[take])), whole("text_hash"), whole("low"), whole("high"), ints(first - ranges[of]), ints(starts[first] - offs[of]), ints(ends[first + RUN - 1] - offs[of])], ["win", "text_hash", "low", "high", "at", "begin", "end"])
 
 
-def runs_of(at, begin, end, f_doc, f_text, f_at):
+def joined(runs: list, similarity: float):
+    """Runs (at, begin, end, n, f_doc, f_text, f_at) in order, those of one first text joined over edited words as long as
+    the joined spans of both texts surely reach the similarity: Jaccard of SHINGLE-word shingles, of which only those
+    inside the runs count as common."""
+    out, common = [], 0
+    for run in runs:
+        at, _, end, n, _, text, f_at = run
+        inside = n - SHINGLE + 1
+        if out and out[-1][5] == text:
+            last_at, begin, last_end, last_n, doc, _, last_f = out[-1]
+            size, f_size = at + n - last_at, f_at + n - last_f
+            # words that both runs hold, in either text; shingles within them count once
+            twice = max(0, last_run[0] - at, last_run[1] - f_at)
+            both = common + inside - max(0, twice - SHINGLE + 1) if twice < n else 0
+            if f_at > last_run[2] and size > last_n and both >= similarity * (size + f_size - 2 * (SHINGLE - 1) - both):
+                out[-1], common, last_run = (last_at, begin, max(end, last_end), size, doc, text, last_f), both, (at + n, f_at + n, f_at)
+                continue
+        out.append(run)
+        common, last_run = inside, (at + n, f_at + n, f_at)
+    return out
+
+
+def runs_of(own: int, similarity: float, at, begin, end, f_doc, f_text, f_at):
     """(at, begin, end, n, f_doc, f_text, f_at) of the runs of one text, from its windows that others hold too."""
     at, pick = np.unique(at, return_index=True)
     begin, end, f_doc, f_text, f_at = (x[pick] for x in (begin, end, f_doc, f_text, f_at))
@@ -77,26 +101,29 @@ def runs_of(at, begin, end, f_doc, f_text, f_at):
     new[1:] = (np.diff(at) != 1) | (np.diff(f_at) != 1) | (f_text[1:] != f_text[:-1])
     i = np.flatnonzero(new)
     j = np.append(i[1:], len(at)) - 1
-    return list(zip(*(x.tolist() for x in (at[i], begin[i], end[j], at[j] - at[i] + RUN, f_doc[i], f_text[i], f_at[i])), strict=True))
+    runs = list(zip(*(x.tolist() for x in (at[i], begin[i], end[j], at[j] - at[i] + RUN, f_doc[i], f_text[i], f_at[i])), strict=True))
+    # what stays is not joined
+    return [r for r in runs if r[5] == own] + joined([r for r in runs if r[5] != own], similarity)
 
 
-def _runs(batches):
+def _runs(batches, similarity: float):
     names = ["text_hash", "at", "begin", "end", "n", "first_doc", "first_text", "first_at"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
     for batch in batches:
         flat = batch.column("own").flatten()
         cols = [flat.field(c).to_numpy() for c in ("at", "begin", "end", "f_doc", "f_text", "f_at")]
         turns = batch.column("own").offsets.to_numpy()
         turns = turns - turns[0]
         texts = batch.column("text_hash").to_pylist()
-        out = [(t, *r) for t, lo, hi in zip(texts, turns[:-1], turns[1:], strict=True) for r in runs_of(*(c[lo:hi] for c in cols))]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        out = [(t, *r) for t, lo, hi in zip(texts, turns[:-1], turns[1:], strict=True) for r in runs_of(t, similarity, *(c[lo:hi] for c in cols))]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
 
-def common_runs(plain: DataFrame) -> DataFrame:
+def common_runs(plain: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, begin, end, n, passage, first_doc for each row of ``plain`` (doc_id, text, text_hash; no null
     ids) and each run of at least RUN words that another document holds too. first_doc is the smallest doc_id that
-    holds the run's windows; passage is one for all runs that lie in the same stretch of it."""
+    holds the run's windows; passage is one for all runs that lie in the same stretch of it. Runs of an edited copy are
+    joined, with the edited words, where the ``joined`` spans are similar."""
     found = staged(plain.mapInArrow(_seeds, "doc_id long, text_hash long, at int, seed long"), "seeds")
     shared = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size"))
     shared = staged(shared.where("low < high").select("seed", "size"), "shared_seeds")
@@ -114,7 +141,7 @@ def common_runs(plain: DataFrame) -> DataFrame:
     total = first.agg(F.sum("size")).first()[0] or 0
     held = meet(wins.select("win", "text_hash", "at", "begin", "end"), first.drop("size"), first.where(F.col("size") > total / HEAVY).select("win"), "win", "text_hash")
     own = held.groupBy("text_hash").agg(F.collect_list(F.struct("at", "begin", "end", "f_doc", "f_text", "f_at")).alias("own"))
-    runs = staged(own.mapInArrow(_runs, "text_hash long, at int, begin int, end int, n int, first_doc long, first_text long, first_at int"), "runs")
+    runs = staged(own.mapInArrow(partial(_runs, similarity=similarity), "text_hash long, at int, begin int, end int, n int, first_doc long, first_text long, first_at int"), "runs")
     # the stretch of the first document that a run lies in
     home = runs.where("text_hash = first_text AND at = first_at").select("first_text", F.col("at").alias("home"), (F.col("at") + F.col("n")).alias("home_end"))
     runs = meet(runs, home, hot(runs, "first_text"), "first_text", "text_hash").where("first_at >= home AND first_at < home_end - %d" % (RUN - 1))

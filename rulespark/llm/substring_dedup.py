@@ -139,7 +139,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     spans = joined.groupBy("passage").agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
     chosen = alone.unionAll(joined.join(spans, "passage").select("key", "passage", "first_doc"))
     out = found.select("doc_id", "text_hash", "begin", "end", "n", "key").join(staged(chosen, "passages"), "key").drop("key")
-    out = out.unionByName(common_runs(plain))
+    out = out.unionByName(common_runs(plain, similarity))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), "text_hash", (F.col("doc_id") != F.col("first_doc")).alias("removed"))
 

@@ -245,3 +245,18 @@ def test_passage_over_short_lines(spark):
     for i, t in enumerate(texts):
         assert {w for b, e, _ in got[i] for w in words(t[b:e])} == set(passage)
         assert {f for _, _, f in got[i]} == {0}
+
+
+def test_passage_in_longer_lines(spark):
+    """Of passages of 50 words inside longer lines every word is reported; of edited copies, the edited words too."""
+    own, texts = [t.split() for t in corpus(24, seed=10)], []
+    for i, o in enumerate(own):
+        passage = [f"x{i % 8}y{j}" for j in range(50)]
+        if i >= 16:
+            passage[25] = f"edit{i}"
+        texts.append(" ".join(o[: 10 + i] + passage + o[10 + i :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = spans_of(substring_dedup.repeats(docs).collect())
+    for i, t in enumerate(texts):
+        whole = [(f, t[b:e].split()) for b, e, f in got[i] if e - b == max(y - x for x, y, _ in got[i])]
+        assert {f for f, _ in whole} == {i % 8} and all(len(w) == 50 for _, w in whole), (i, whole)
