@@ -37,15 +37,21 @@ def line_offsets(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.union1d(offs, np.flatnonzero(data == 10) + 1)
 
 
-def cut_places(h: np.ndarray) -> np.ndarray:
-    """Words that a piece begins with: a hash of the word and the one before is the lowest of REACH on both sides."""
-    g = mix(h + np.concatenate([np.zeros(1, U), h[:-1]]) * _C[1])
+def cut_places(h: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """Words that a piece begins with: a hash of the word and the one before is the lowest of REACH on both sides. Words
+    of other rows don't count."""
+    before = np.concatenate([np.zeros(1, U), h[:-1]])
+    before[ranges[:-1][np.diff(ranges) > 0]] = 0
+    g = mix(h + before * _C[1])
+    n = np.diff(ranges)
+    left = np.arange(len(h)) - np.repeat(ranges[:-1], n)
+    right = np.repeat(ranges[1:], n) - 1 - np.arange(len(h))
     wide = np.concatenate([np.zeros(REACH, U), g, np.zeros(REACH, U)])
     least = np.ones(len(g), bool)
     for j in range(2 * REACH + 1):
         if j != REACH:
             other = wide[j : j + len(g)]
-            least &= (g < other) if j < REACH else (g <= other)
+            least &= ((g < other) | (left < REACH - j)) if j < REACH else ((g <= other) | (right < j - REACH))
     return np.flatnonzero(least)
 
 
@@ -61,7 +67,7 @@ def units(data: np.ndarray, offs: np.ndarray, want_bands: bool = True):
     key_line = digests(h, ranges)[line]
     # pieces of long lines
     long_word = np.repeat(n > CUT_LINE, n)
-    cuts = np.union1d(ranges, cut_places(h)) if len(h) else ranges
+    cuts = np.union1d(ranges, cut_places(h, np.searchsorted(starts, offs))) if len(h) else ranges
     cuts = np.unique(cuts)
     size = np.diff(cuts)
     piece = np.flatnonzero((size >= MIN_PIECE) & long_word[np.minimum(cuts[:-1], max(0, len(h) - 1))]) if len(h) else np.zeros(0, int)

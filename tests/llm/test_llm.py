@@ -260,3 +260,15 @@ def test_passage_in_longer_lines(spark):
     for i, t in enumerate(texts):
         whole = [(f, t[b:e].split()) for b, e, f in got[i] if e - b == max(y - x for x, y, _ in got[i])]
         assert {f for f, _ in whole} == {i % 8} and all(len(w) == 50 for _, w in whole), (i, whole)
+
+
+def test_pieces_depend_on_their_document_alone():
+    texts = [t.encode() for t in corpus(40, seed=11)]
+    apart = []
+    for t in texts:
+        data = np.frombuffer(t, np.uint8)
+        apart.append(sorted(map(tuple, np.array(substring_dedup.units(data, np.array([0, len(t)]), False)[0])[1:5].T.tolist())))
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    row, begin, end, n, key, _ = substring_dedup.units(np.frombuffer(b"".join(texts), np.uint8), offs, False)[0]
+    together = [sorted(zip((begin - offs[row])[row == i].tolist(), (end - offs[row])[row == i].tolist(), n[row == i].tolist(), key[row == i].tolist())) for i in range(40)]
+    assert [[x[:3] for x in d] for d in together] == [[tuple(map(int, x[:3])) for x in d] for d in apart]
