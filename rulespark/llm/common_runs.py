@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import HEAVY, SHINGLE, SIMILARITY, hot, meet
-from .runtime import small_enough, staged
+from .runtime import dropped, small_enough, staged
 from .wordhash import shingles, signed, slices, words
 
 RUN, SEED = 20, 10
@@ -131,6 +131,7 @@ def common_runs(plain: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     held = meet(found, shared.select("seed"), shared.where(F.col("size") > total / HEAVY).select("seed"), "seed", "doc_id")
     texts = held.groupBy("text_hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.collect_set("at").alias("spots"))
     texts = staged(texts, "spots")
+    dropped(found)
     # one row of each text
     ids = texts.select(F.col("low").alias("doc_id"), "text_hash")
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
@@ -142,6 +143,8 @@ def common_runs(plain: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     held = meet(wins.select("win", "text_hash", "at", "begin", "end"), first.drop("size"), first.where(F.col("size") > total / HEAVY).select("win"), "win", "text_hash")
     own = held.groupBy("text_hash").agg(F.collect_list(F.struct("at", "begin", "end", "f_doc", "f_text", "f_at")).alias("own"))
     runs = staged(own.mapInArrow(partial(_runs, similarity=similarity), "text_hash long, at int, begin int, end int, n int, first_doc long, first_text long, first_at int"), "runs")
+    dropped(wins)
+    dropped(first)
     # the stretch of the first document that a run lies in
     home = runs.where("text_hash = first_text AND at = first_at").select("first_text", F.col("at").alias("home"), (F.col("at") + F.col("n")).alias("home_end"))
     runs = meet(runs, home, hot(runs, "first_text"), "first_text", "text_hash").where("first_at >= home AND first_at < home_end - %d" % (RUN - 1))
