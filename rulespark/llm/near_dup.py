@@ -192,11 +192,12 @@ def linked(rows: DataFrame, heavy: DataFrame, load_sets, similarity: float) -> t
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, keep of each row of ``docs``.
+    """doc_id, class_id, links_compared, keep of each row of ``docs``.
 
     class_id is the smallest doc_id of the rows whose texts are linked: of equal words, or of a weighted Jaccard
-    similarity of five-word shingles of at least ``similarity``, over any number of links. n_links counts the different
-    texts that a text was found similar to. keep is true for one row of each class, the one with the smallest doc_id
+    similarity of five-word shingles of at least ``similarity``, over any number of links. links_compared counts the different
+    texts that a text was compared with and found similar to: leaders, and texts left apart by them, not all similar
+    texts. keep is true for one row of each class, the one with the smallest doc_id
     (null ids last; of repeated rows, one). Texts of fewer than five words are one shingle. Null texts and texts
     without words are never linked to any and are all kept, with their own id as class. An empty table gives no rows.
     """
@@ -223,17 +224,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
         return staged(sets.dropDuplicates(["key"]), "sets")
 
     links, roots = linked(rows, heavy, load_sets, similarity)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links_compared"))
     label = reps.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    label = label.join(least, "root").join(degree, "key", "left").select("key", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    label = label.join(least, "root").join(degree, "key", "left").select("key", "root", "class_id", F.coalesce("links_compared", F.lit(0)).alias("links_compared"))
     out = sketch.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key"), F.monotonically_increasing_id().alias("turn"))
     out = meet(out, label, copied, "key", "turn", "left")
     out = staged(out, "labelled")
     kept = out.where("key IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "turn"))["turn"].alias("turn"))
     out = out.join(kept.select("turn", F.lit(True).alias("kept")), "turn", "left")
     keep = F.col("key").isNull() | F.coalesce("kept", F.lit(False))
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), keep.alias("keep"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links_compared", F.lit(0)).alias("links_compared"), keep.alias("keep"))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

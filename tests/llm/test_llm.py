@@ -272,3 +272,8 @@ def test_pieces_depend_on_their_document_alone():
     row, begin, end, n, key, _ = substring_dedup.units(np.frombuffer(b"".join(texts), np.uint8), offs, False)[0]
     together = [sorted(zip((begin - offs[row])[row == i].tolist(), (end - offs[row])[row == i].tolist(), n[row == i].tolist(), key[row == i].tolist())) for i in range(40)]
     assert [[x[:3] for x in d] for d in together] == [[tuple(map(int, x[:3])) for x in d] for d in apart]
+
+
+def test_links_are_those_compared(none):
+    """The count leaves out pairs that share a leader, so it's not named as the number of similar texts."""
+    assert near_dup.near_duplicates(none).columns == ["doc_id", "class_id", "links_compared", "keep"]
