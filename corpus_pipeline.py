@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: SQL can't express the models and the order of packing; tests hold the stages against brute force instead.
+#: SQL can't express the models and the order of packing. Tests call operators and the decontaminate stage; none calls run().
 ORACLE_SQL = None
 
 
