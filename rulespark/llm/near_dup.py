@@ -80,7 +80,7 @@ def _sketch(batches):
         for lo, hi, data, offs in slices(batch.column("text")):
             key, e, own = elements(data, offs)
             b = bands(dart_minhash(e, own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(signed(key)), pa.array(np.diff(own)), lists(signed(b.ravel()), np.arange(len(b) + 1) * b.shape[1])], ["doc_id", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(signed(key)), pa.array(np.diff(own)), lists(signed(b.ravel()), np.arange(len(b) + 1) * b.shape[1])], ["doc_id", "text_hash", "key", "n", "bands"])
 
 
 def _sets(batches):
@@ -191,7 +191,7 @@ def linked(rows: DataFrame, heavy: DataFrame, load_sets, similarity: float) -> t
     return links, components(links)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", hashes: bool = False) -> DataFrame:
     """doc_id, class_id, links_compared, keep of each row of ``docs``.
 
     class_id is the smallest doc_id of the rows whose texts are linked: of equal words, or of a weighted Jaccard
@@ -199,11 +199,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     texts that a text was compared with and found similar to: leaders, and texts left apart by them, not all similar
     texts. keep is true for one row of each class, the one with the smallest doc_id
     (null ids last; of repeated rows, one). Texts of fewer than five words are one shingle. Null texts and texts
-    without words are never linked to any and are all kept, with their own id as class. An empty table gives no rows.
+    without words are never linked to any and are all kept, with their own id as class. ``hashes`` adds
+    text_hash (xxhash64 of the text), which tells rows of one id, or of none, apart. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketch = staged(plain.mapInArrow(_sketch, "doc_id long, key long, n long, bands array<long>"), "sketch")
+    plain = plain.withColumn("text_hash", F.xxhash64("text"))
+    sketch = staged(plain.mapInArrow(_sketch, "doc_id long, text_hash long, key long, n long, bands array<long>"), "sketch")
     full = sketch.where("n > 0")
     copied = staged(full.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "copied")
     copied = copied.where(F.col("size") > (copied.agg(F.sum("size")).first()[0] or 0) / HEAVY)
@@ -228,13 +230,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     label = reps.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     label = label.join(least, "root").join(degree, "key", "left").select("key", "root", "class_id", F.coalesce("links_compared", F.lit(0)).alias("links_compared"))
-    out = sketch.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key"), F.monotonically_increasing_id().alias("turn"))
+    out = sketch.select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("key")).alias("key"), F.monotonically_increasing_id().alias("turn"))
     out = meet(out, label, copied, "key", "turn", "left")
     out = staged(out, "labelled")
     kept = out.where("key IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "turn"))["turn"].alias("turn"))
     out = out.join(kept.select("turn", F.lit(True).alias("kept")), "turn", "left")
     keep = F.col("key").isNull() | F.coalesce("kept", F.lit(False))
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links_compared", F.lit(0)).alias("links_compared"), keep.alias("keep"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links_compared", F.lit(0)).alias("links_compared"), keep.alias("keep"), *(["text_hash"] if hashes else []))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

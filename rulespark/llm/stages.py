@@ -21,12 +21,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows without a doc_id stay; of
-    rows that share one, the distinct ones stay if any is to be kept."""
-    ids = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
-    ids = staged(ids.where("NOT keep OR n > 1"), "ids")
-    once = docs.join(bounded(ids.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    again = docs.join(bounded(ids.where("keep").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest doc_id (null ids last). Rows are judged by
+    doc_id and text, so null or repeated ids don't matter; of repeated rows one stays, if any is to be kept."""
+    judged = near_duplicates(docs, hashes=True).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    judged = judged.agg(F.count(F.when(F.col("keep"), 1)).alias("kept"), F.count("*").alias("n"))
+    judged = staged(judged.where("kept < n"), "judged")
+    own = lambda: F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    once = docs.join(bounded(judged.select("__id", "__hash")), own(), "left_anti").select(docs.columns)
+    again = docs.join(bounded(judged.where("kept > 0").select("__id", "__hash")), own(), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
     return once.unionAll(again)
 
 

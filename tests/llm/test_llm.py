@@ -277,3 +277,12 @@ def test_pieces_depend_on_their_document_alone():
 def test_links_are_those_compared(none):
     """The count leaves out pairs that share a leader, so it's not named as the number of similar texts."""
     assert near_dup.near_duplicates(none).columns == ["doc_id", "class_id", "links_compared", "keep"]
+
+
+def test_near_dup_stage_judges_rows(spark):
+    """Near-copies of null id go, and of one id's texts each is kept or not by itself."""
+    a, b, c = corpus(3, seed=12)
+    near = lambda t, n: " ".join([*t.split()[:-1], f"edit{n}"])
+    rows = [(1, a), (None, near(a, 1)), (None, near(a, 2)), (None, b), (2, c), (2, near(a, 3)), (2, c), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, map(tuple, stages.near_dup(spark, docs, "").collect()))) == sorted(map(str, [(1, a), (None, b), (2, c), (None, None)]))
