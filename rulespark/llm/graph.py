@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = staged(both, "edges")
     lab = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(lab.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        met = both.join(lab.select(F.col("node").alias("b"), "root"), "b")
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         low = lab.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         low = staged(low, "low")
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("far"))
@@ -25,4 +26,5 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(low)
         lab = new
         if not moved:
+            dropped(both)
             return lab.select("node", "root")

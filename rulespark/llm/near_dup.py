@@ -8,19 +8,25 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import ship, small_enough, staged, table
+from .runtime import scratch, ship, small_enough, staged, table
 from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed, slices, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 K, ROWS = 64, 4  # coordinates, and how many make a band: 16 bands find a pair of similarity 0.8 with 0.9998
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
+CELL = 4_000_000  # elements of a bucket, or of smaller buckets together, that one task compares
+STEP = 2_000_000  # elements or counts looked up at a time
+MANY, DENSE = 256, 8  # rows of a bucket with a matrix of its own; it holds elements of more than one in DENSE of them
+MEMBER = 100  # elements that a member counts for besides its own
 HEAVY = 1000  # a bucket of more than one in HEAVY of all rows is heavy: there are fewer than HEAVY of these
 SALTS = 64  # tasks that the rows of a heavy bucket are spread over
 
@@ -134,12 +140,12 @@ def ordered(met: DataFrame, similarity: float) -> DataFrame:
     return near.select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b")).distinct()
 
 
-def unsettled(rows: DataFrame, heavy: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, root of the members of buckets that hold several components."""
+def apart(rows: DataFrame, heavy: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, key, n, root of the members of buckets that hold several components."""
     rows = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rows = staged(rows.select("bucket", "key", "root"), "rooted")
+    rows = staged(rows.select("bucket", "key", F.col("n").cast("long").alias("n"), "root"), "rooted")
     several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return staged(meet(rows, several, heavy).select("key", "root").distinct(), "unsettled")
+    return staged(meet(rows, several, heavy), "apart")
 
 
 def hot(rows: DataFrame, on: str) -> DataFrame:
@@ -147,47 +153,182 @@ def hot(rows: DataFrame, on: str) -> DataFrame:
     return rows.groupBy(on).agg(F.count("*").alias("size")).where(F.col("size") > rows.count() / HEAVY).select(on)
 
 
-def prefix_pairs(sets: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), of different roots, of ``sets`` (key, items) that may reach the similarity: all that do, and few more.
+def joining_links(bucket: np.ndarray, root: np.ndarray, items: np.ndarray, ranges: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows, of one bucket and of different roots, that join all similar rows: no two similar rows of a bucket
+    stay in different components.
 
-    Elements have one order: those of a single root first, then rare ones before common ones. Similar sets x and y hold
-    c = similarity / (1 + similarity) * (x + y) elements in common, so their first common one leaves at least c - 1
-    behind it in both. Only such places of elements are kept and joined. ``keys``: key, root.
+    A row's elements have one order, rare ones first; those that only one root of the bucket holds don't count. Similar
+    rows share one of the first (counted - similarity * size + 1) elements of both, so rows meet by these alone, and a
+    row is compared exactly with those it meets that are of another component by then.
     """
-    each = sets.join(keys, "key").select("key", "root", F.size("items").alias("n"), F.explode(F.array_distinct("items")).alias("e"))
-    each = staged(each, "elements")
-    shared = each.groupBy("e").agg(F.count("*").alias("df"), F.min("n").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("e", "df", "least")
-    shared = staged(shared, "shared")
-    held = meet(each, shared, shared.where(F.col("df") > each.count() / HEAVY).select("e"), "e")
-    held = held.groupBy("key", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e", "least"))).alias("own"))
-    held = held.select("key", "root", "n", F.size("own").alias("m"), F.posexplode("own").alias("at", "x"))
-    part = similarity / (1 + similarity)
-    left = F.col("m") - F.col("at")  # no more elements than these can be common with another root
-    held = held.select("key", "root", "n", "x.e", "x.least", left.alias("left"))
-    held = held.where(F.col("left") >= part * (F.col("n") + F.greatest("least", F.ceil(similarity * F.col("n")))) - 1e-6)
-    held = staged(held.drop("least"), "places")
-    several = held.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("e")
-    held = staged(meet(held, several, hot(held, "e"), "e"), "several")
-    other = held.select("e", F.struct("key", "root", "n", "left").alias("l"))
-    met = meet(held, other, hot(held, "e"), "e")
-    return ordered(met.where(F.expr("root <> l.root AND key > l.key") & (F.least("left", "l.left") >= part * (F.col("n") + F.col("l.n")) - 1e-6)), similarity)
-
-
-def linked(rows: DataFrame, heavy: DataFrame, load_sets, similarity: float) -> tuple[DataFrame, DataFrame]:
+    n = np.diff(ranges)
+    rows = np.repeat(np.arange(len(n)), n)
+    _, home = np.unique(bucket, return_inverse=True)
+    _, comp = np.unique(root, return_inverse=True)
+    # elements are told apart by bucket, so all buckets are worked through at once
+    _, e, df = np.unique(mix(items.astype(np.int64).view(U) + mix(home.astype(U) + U(1))[rows]), return_inverse=True, return_counts=True)
+    low, high = np.full(len(df), len(n)), np.full(len(df), -1)
+    np.minimum.at(low, e, comp[rows])
+    np.maximum.at(high, e, comp[rows])
+    counted = np.flatnonzero((low < high)[e])
+    order = counted[np.lexsort((e[counted], df[e[counted]], rows[counted]))]
+    of = rows[order]
+    have = np.bincount(of, minlength=len(n))
+    begin = np.concatenate([[0], np.cumsum(have)])[:-1]
+    length = np.maximum(0, have - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
+    head = np.arange(len(order)) - begin[of] < length[of]
+    he, hr = e[order[head]], of[head]
+    by = np.argsort(he, kind="stable")
+    he, hr = he[by], hr[by]
+    first, last = np.searchsorted(he, np.arange(len(df) + 1))[:-1], np.searchsorted(he, np.arange(len(df)), "right")
+    # the largest component of a bucket waits for the others to ask
+    pair, count = np.unique(home * len(n) + comp, return_counts=True)
+    most = np.zeros(home.max() + 1, np.int64)
+    at = np.lexsort((count, pair // len(n)))
+    most[pair[at] // len(n)] = pair[at] % len(n)
+    asks = comp != most[home]
+    own = np.split(e[order[head]], np.cumsum(np.bincount(of[head], minlength=len(n)))[:-1])
+    label, mark, links = comp.copy(), np.zeros(len(df), bool), []
+    for x in np.flatnonzero(asks & (length > 0)).tolist():
+        met = [hr[first[k] : last[k]] for k in own[x].tolist() if last[k] - first[k] > 1]
+        if not met:
+            continue
+        y = np.unique(np.concatenate(met))
+        y = y[(label[y] != label[x]) & (~asks[y] | (y < x)) & (np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]))]
+        if not len(y):
+            continue
+        mark[e[ranges[x] : ranges[x + 1]]] = True
+        for some in np.array_split(y, -(-int(n[y].sum()) // STEP)):
+            size = n[some]
+            turns = np.cumsum(size) - size
+            common = np.add.reduceat(mark[e[np.arange(size.sum()) + np.repeat(ranges[some] - turns, size)]], turns, dtype=np.int64)
+            for z in some[common >= similarity * (n[x] + size - common) - 1e-9].tolist():
+                if label[x] != label[z]:
+                    label[label == label[z]] = label[x]
+                    links.append((x, z))
+        mark[e[ranges[x] : ranges[x + 1]]] = False
+    return links
+
+
+def joining_links_dense(root: np.ndarray, items: np.ndarray, ranges: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """As ``joining_links``, for one bucket of many rows: common elements are counted by a product of matrices, rare ones
+    by the rows that hold them."""
+    n = np.diff(ranges)
+    m = len(n)
+    rows = np.repeat(np.arange(m), n)
+    _, comp = np.unique(root, return_inverse=True)
+    _, e, df = np.unique(items, return_inverse=True, return_counts=True)
+    common = df > m / DENSE
+    column = np.cumsum(common) - 1
+    matrix = np.zeros((m, max(1, int(common.sum()))), np.float32)
+    matrix[rows[common[e]], column[e[common[e]]]] = 1
+    rare = np.flatnonzero((~common & (df > 1))[e])
+    by = rare[np.argsort(e[rare], kind="stable")]
+    held = rows[by]
+    first, last = np.searchsorted(e[by], np.arange(len(df))), np.searchsorted(e[by], np.arange(len(df)), "right")
+    asks = np.flatnonzero(comp != np.bincount(comp).argmax())
+    label, links, part = comp.copy(), [], similarity / (1 + similarity)
+    for block in np.array_split(asks, -(-len(asks) * m // STEP) or 1):
+        for x, s in zip(block.tolist(), matrix[block] @ matrix.T, strict=True):
+            met = [held[first[k] : last[k]] for k in e[ranges[x] : ranges[x + 1]].tolist() if last[k] > first[k]]
+            if met:
+                s += np.bincount(np.concatenate(met), minlength=m)
+            near = (s >= part * (n[x] + n) - 1e-4) & (label != label[x])
+            for z in np.flatnonzero(near).tolist() if near.any() else ():
+                if label[x] != label[z]:
+                    label[label == label[z]] = label[x]
+                    links.append((x, z))
+    return links
+
+
+def _joiner(similarity: float):
+    """Links of buckets that come one after another: whole buckets of about CELL elements at a time."""
+
+    def run(batches):
+        held, mass = [], 0
+        for batch in batches:
+            held.append(batch)
+            mass += len(batch.column("items").flatten()) + MEMBER * batch.num_rows
+            if mass > CELL:
+                whole = pa.Table.from_batches(held)
+                bucket = whole.column("bucket").to_numpy()
+                cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+                if cut:
+                    yield from links_of(whole.slice(0, cut))
+                    held = whole.slice(cut).to_batches()
+                    mass = sum(len(b.column("items").flatten()) + MEMBER * b.num_rows for b in held)
+        if held:
+            yield from links_of(pa.Table.from_batches(held))
+
+    def links_of(rows):
+        rows = rows.combine_chunks()
+        column = rows.column("items").combine_chunks()
+        ranges = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        key = rows.column("key").to_numpy()
+        bucket, root, items = rows.column("bucket").to_numpy(), rows.column("root").to_numpy(), column.flatten().to_numpy()
+        # runs of small buckets together, each bucket of many rows by itself
+        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
+        ends = np.append(starts[1:], len(bucket))
+        many = ends - starts >= MANY
+        cuts = np.unique(np.concatenate([[0, len(bucket)], starts[many], ends[many]]))
+        alone, links = set(starts[many].tolist()), []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = items[ranges[lo] : ranges[hi]], ranges[lo : hi + 1] - ranges[lo], similarity
+            found = joining_links_dense(root[lo:hi], *own) if lo in alone else joining_links(bucket[lo:hi], root[lo:hi], *own)
+            links += [(lo + x, lo + y) for x, y in found]
+        if links:
+            a, b = key[[x for x, _ in links]], key[[y for _, y in links]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _finer(level: int):
+    """The same members in buckets that K further coordinates split, again in bands."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("items")
+            ranges = column.offsets.to_numpy() - column.offsets.to_numpy()[0]
+            e = mix(column.flatten().to_numpy().astype(np.int64).view(U) + U(level + 1) * _C[1])
+            b = bands(dart_minhash(e, ranges.astype(np.int64)))
+            inside = mix(b + mix(batch.column("bucket").to_numpy().view(U))[:, None])
+            row = pa.array(np.repeat(np.arange(len(b)), b.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(inside.ravel())), *[batch.column(c).take(row) for c in ("key", "n", "root")]], ["bucket", "key", "n", "root"])
+
+    return run
+
+
+def linked(rows: DataFrame, heavy: DataFrame, load_sets, similarity: float, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """links (a, b) and roots (node, root) of ``rows`` (bucket, key, n, weight, size), members of shared buckets.
 
-    First, members meet the leaders of their buckets, which joins large groups of copies without their pairs. Then the
-    members of buckets that still hold several components are joined by ``prefix_pairs``: no similar two of them are
-    left apart, whether they met a leader or not. ``load_sets`` gives the sets (key, items) of pairs.
+    First, members meet the leaders of their buckets, which joins large groups of copies without their pairs. Members of
+    buckets that still hold several components then meet inside a task for each bucket: exactly, but only links that join
+    components are made. A bucket of more than ``cell`` elements is split by bands of further coordinates first.
+    ``load_sets`` gives the sets (key, items) of pairs.
     """
     pairs = staged(leader_pairs(rows, heavy, similarity), "pairs")
     links = staged(similar_links(pairs, load_sets(pairs), similarity), "links")
     roots = components(links)
     # of two or fewer members, all have met
-    rest = unsettled(rows.where("size > 2"), heavy, roots)
+    rest = apart(rows.where("size > 2"), heavy, roots)
     sets = load_sets(rest.select(F.col("key").alias("a"), F.col("key").alias("b")))
-    more = staged(prefix_pairs(sets, rest, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = staged(links.unionAll(similar_links(more, sets, similarity)), "links")
+    found, level = [links], 0
+    while True:
+        mass = rest.groupBy("bucket").agg(F.sum(F.col("n") + MEMBER).alias("mass"))
+        large = staged(mass.where(F.col("mass") > cell).select("bucket"), "large")
+        none = large.isEmpty()
+        small = rest if none else rest.join(large, "bucket", "left_anti")
+        small = small.join(sets, "key").select("bucket", "key", "root", "items").repartition("bucket").sortWithinPartitions("bucket")
+        found.append(staged(small.mapInArrow(_joiner(similarity), "a long, b long").distinct(), "links"))
+        if none:
+            break
+        level += 1
+        more = meet(rest, large, hot(rest, "bucket")).join(sets, "key").select("bucket", "key", "n", "root", "items")
+        finer = staged(more.mapInArrow(_finer(level), "bucket long, key long, n long, root long"), "finer")
+        several = finer.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        rest = staged(meet(finer, several, hot(finer, "bucket")), "apart")
+    links = staged(reduce(DataFrame.unionAll, found), "links")
     return links, components(links)
 
 
@@ -203,6 +344,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     text_hash (xxhash64 of the text), which tells rows of one id, or of none, apart. An empty table gives no rows.
     """
     ship(docs.sparkSession)
+    with scratch() as keep:
+        return keep(staged(_near_duplicates(docs, similarity, doc_id, text).select("doc_id", "class_id", "links_compared", "keep", *(["text_hash"] if hashes else [])), "near_duplicates"))
+
+
+def _near_duplicates(docs: DataFrame, similarity: float, doc_id: str, text: str) -> DataFrame:
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     plain = plain.withColumn("text_hash", F.xxhash64("text"))
     sketch = staged(plain.mapInArrow(_sketch, "doc_id long, text_hash long, key long, n long, bands array<long>"), "sketch")
@@ -236,7 +382,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     kept = out.where("key IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "turn"))["turn"].alias("turn"))
     out = out.join(kept.select("turn", F.lit(True).alias("kept")), "turn", "left")
     keep = F.col("key").isNull() | F.coalesce("kept", F.lit(False))
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links_compared", F.lit(0)).alias("links_compared"), keep.alias("keep"), *(["text_hash"] if hashes else []))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links_compared", F.lit(0)).alias("links_compared"), keep.alias("keep"), "text_hash")
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
+#: Tables staged inside each open ``scratch``, the innermost last.
+_scratch: list[list[DataFrame]] = []
+
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
+    """Let Python workers import this package: by path on a local master, as a file that Spark hands out elsewhere."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.master.startswith("local["):
+        root = str(package.parent)
+        if root not in sc.environment.get("PYTHONPATH", "").split(":"):
+            sc.environment["PYTHONPATH"] = ":".join(filter(None, [root, sc.environment.get("PYTHONPATH")]))
+    elif sc.applicationId not in _shipped:
+        path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(path))
+        _shipped.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return "file:///tmp/checkpoints"
 
@@ -33,6 +50,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
@@ -43,6 +62,29 @@ def dropped(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator:
+    """Tables staged inside are deleted at the end, but for those given to what this yields."""
+    own: list[DataFrame] = []
+    _scratch.append(own)
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        paths = {df.staged_path for df in kept}
+        for df in own:
+            if df.staged_path not in paths:
+                dropped(df)
+            elif _scratch:
+                _scratch[-1].append(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,6 +103,6 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` (of narrow rows) marked for broadcast if it has at most ``rows`` rows, else as it is: then it's shuffled."""
     return F.broadcast(df) if small_enough(df, rows) else df
