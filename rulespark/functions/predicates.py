@@ -1,6 +1,7 @@
 """Conditions as Columns and in plain Python, with the same rules for missing inputs.
 
-A missing INTEGER, BOOLEAN or DATE input counts as 0, false or 1970-01-01. A missing STRING (or an empty one), DECIMAL
+A missing INTEGER, BOOLEAN or DATE input counts as 0, false or 1970-01-01. For INTEGER columns, numbers with a fraction
+are cut toward zero, those beyond 64 bits count as the least or greatest such number, and NaN counts as missing. A missing STRING (or an empty one), DECIMAL
 or TIMESTAMP lies below every operand and equals none, but an empty element of a set.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from rulespark.model import Column, ColumnType, EvaluationError, Op
 
 ZERO = {ColumnType.INTEGER: 0, ColumnType.BOOLEAN: False, ColumnType.DATE: dt.date(1970, 1, 1)}
+LARGEST = 2**63 - 1
 #: What a condition on a missing input comes to, for types without a zero.
 IF_MISSING = {Op.NE: True, Op.NOT_IN: True, Op.LT: True, Op.LTE: True, Op.NOT_BETWEEN_INCLUSIVE: True, Op.NOT_BETWEEN_EXCLUSIVE: True}
 
@@ -29,7 +31,7 @@ def input_value(column: Column, x: C | None, found: str | None) -> C:
     elif kind is ColumnType.INTEGER:
         if found in ("string", "boolean", "date", "timestamp", "timestamp_ntz"):
             raise EvaluationError(f"{column.name}: {found} is no number")
-        x = x.cast("bigint")
+        x = whole_number(x, found)
     elif kind is ColumnType.DECIMAL:
         x = x if found in ("double", "float") else x.cast("decimal(38,18)")
     elif kind in (ColumnType.BOOLEAN, ColumnType.DATE) and found != kind.value and not (kind is ColumnType.DATE and str(found).startswith("timestamp")):
@@ -39,6 +41,14 @@ def input_value(column: Column, x: C | None, found: str | None) -> C:
     return F.coalesce(x, F.lit(ZERO[kind])) if kind in ZERO else x
 
 
+def whole_number(x: C, found: str | None) -> C:
+    if found in ("tinyint", "smallint", "int", "bigint"):
+        return x.cast("bigint")
+    bound = lambda v: F.lit(float(v)) if found in ("double", "float") else F.lit(str(v)).cast("decimal(38,0)")
+    inside = F.when(x >= bound(LARGEST), F.lit(LARGEST)).when(x <= bound(-LARGEST - 1), F.lit(-LARGEST - 1)).otherwise(x.try_cast("bigint"))
+    return F.when(~F.isnan(x), inside) if found in ("double", "float") else inside
+
+
 def operand_type(column: Column, found: str | None) -> str:
     return "double" if column.type is ColumnType.DECIMAL and found in ("double", "float") else column.type.value
 
@@ -96,7 +106,7 @@ def holds(column: Column, x: Any, operand: Any) -> bool:
     if kind is ColumnType.INTEGER and x is not None:
         if isinstance(x, (str, bool)):
             raise EvaluationError(f"{column.name}: {x!r} is no number")
-        x = int(x)
+        x = None if x != x else max(-LARGEST - 1, min(LARGEST, int(x) if abs(x) <= LARGEST else LARGEST if x > 0 else -LARGEST - 1))
     if kind is ColumnType.DECIMAL and x is not None:
         from decimal import Decimal
 

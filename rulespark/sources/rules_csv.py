@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
-from dataclasses import dataclass
+import io
+import json
+import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 from pathlib import Path
 from typing import Any
@@ -16,7 +19,10 @@ TRUE_WORDS = {"true", "1", "yes"}
 
 @dataclass(frozen=True)
 class CsvFile:
+    """A file of rules; with a session, in any store that Spark reads."""
+
     path: str
+    spark: Any = field(default=None, compare=False)
     format: str = "CSV"
 
     @property
@@ -24,7 +30,12 @@ class CsvFile:
         return Path(self.path).name
 
     def open(self):
-        return open(self.path, encoding="utf-8")
+        if self.spark is None:
+            return open(self.path, encoding="utf-8")
+        try:
+            return io.StringIO(self.spark.read.option("wholetext", True).text(self.path).first()[0])
+        except Exception as e:
+            raise OSError(f"can't read {self.path}: {e}") from e
 
 
 @dataclass(frozen=True)
@@ -34,20 +45,55 @@ class CsvText:
     format: str = "CSV"
 
     def open(self):
-        import io
-
         return io.StringIO(self.text)
 
 
+class Rows:
+    """A source that holds rows of cells rather than text: the header, the operators, then the rules."""
+
+    format = "ROWS"
+
+    def __init__(self, rows: Iterable, name: str = "rules"):
+        self.name, self._rows = name, rows
+
+    def rows(self) -> Iterator[tuple[int, list[str]]]:
+        for number, row in enumerate(self._rows() if callable(self._rows) else self._rows, 1):
+            yield number, ["" if cell is None else str(cell).strip() for cell in row]
+
+
+def frame_rules(df, operators: dict[str, str], order: str | None = None, name: str = "rules") -> Rows:
+    """Rules as rows of a DataFrame, such as a database table read over JDBC: a column of text cells for each column of
+    the table. ``operators`` gives each its operator, ``order`` the column whose ascending order is that of the rules."""
+    columns = list(operators)
+    chosen = (df.orderBy(order) if order else df).select(*[df[c].cast("string") for c in columns])
+
+    def rows():
+        yield columns
+        yield [operators[c] for c in columns]
+        for batch in chosen.toArrow().to_batches(10_000):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    return Rows(rows, name)
+
+
+def json_rules(text: str, name: str = "rules.json") -> Rows:
+    """Rules as a JSON object: ``columns`` and ``operators`` (lists of text), ``rules`` (a list of lists of cells)."""
+    doc = json.loads(text)
+    return Rows([doc["columns"], doc["operators"], *doc["rules"]], name)
+
+
 def split_cells(line: str, row: int) -> list[str]:
+    if "(" not in line and ")" not in line:
+        return [cell.strip() for cell in line.split(",")]
     cells, depth, start = [], 0, 0
-    for i, ch in enumerate(line):
+    for m in re.finditer(r"[(),]", line):
+        ch = m[0]
         depth += (ch == "(") - (ch == ")")
         if depth < 0:
             break
         if ch == "," and not depth:
-            cells.append(line[start:i].strip())
-            start = i + 1
+            cells.append(line[start : m.start()].strip())
+            start = m.end()
     if depth:
         raise OSError(f"Unbalanced parentheses at row {row}")
     return [*cells, line[start:].strip()]
@@ -55,6 +101,9 @@ def split_cells(line: str, row: int) -> list[str]:
 
 def read_rows(source) -> Iterator[tuple[int, list[str]]]:
     """(row number from 1, cells) of the lines that aren't blank."""
+    if hasattr(source, "rows"):
+        yield from source.rows()
+        return
     with source.open() as lines:
         for number, line in enumerate(lines, 1):
             if line.strip():

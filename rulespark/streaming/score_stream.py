@@ -1,4 +1,4 @@
-"""Scoring of streams: stateless with few rules, batch by batch with many."""
+"""Scoring of streams: stateless, with any number of rules."""
 
 from __future__ import annotations
 
@@ -13,11 +13,9 @@ from rulespark.plans.strategies import CASE_RULES
 
 def score_stream(rules: CompiledRules, stream: DataFrame) -> DataFrame:
     """A scored stream, to be written in append mode; no state, no watermark."""
-    return score(rules, stream, strategy="case")
+    return score(rules, stream, strategy="case" if len(rules) <= CASE_RULES else "kernel")
 
 
 def write_scored(rules: CompiledRules, stream: DataFrame, sink: Callable[[DataFrame, int], None]):
-    """A stream writer that gives each scored micro-batch to ``sink``; any strategy works there."""
-    if len(rules.rules) <= CASE_RULES:
-        return score_stream(rules, stream).writeStream.foreachBatch(sink)
-    return stream.writeStream.foreachBatch(lambda batch, epoch: sink(score(rules, batch), epoch))
+    """A stream writer that gives each scored micro-batch to ``sink``."""
+    return score_stream(rules, stream).writeStream.foreachBatch(sink)
