@@ -156,13 +156,13 @@ class CompiledRules:
                 continue
             values, which = self.table[c.name]
             take, kind = pa.array(np.maximum(which, 0), mask=which < 0), STORED[c.type]
-            text = c.type is ColumnType.DECIMAL and c.op is Op.SET
+            plain = lambda v: str(v) if isinstance(v, Decimal) else v
             if c.op.is_range:
-                parts = {f"v{i}": pa.array([v[0] for v in values], kind), f"w{i}": pa.array([v[1] for v in values], kind)}
+                parts = {f"{n}{i}": pa.array([plain(v[k]) for v in values], kind) for k, n in enumerate("vw")}
             elif c.op.is_set:
-                parts = {f"v{i}": pa.array([list(v) for v in values], pa.list_(kind))}
+                parts = {f"v{i}": pa.array([list(map(plain, v)) for v in values], pa.list_(kind))}
             else:
-                parts = {f"v{i}": pa.array(values, pa.string() if text else kind)}
+                parts = {f"v{i}": pa.array(list(map(plain, values)), kind)}
             names += parts
             arrays += [x.take(take) for x in parts.values()]
         return pa.table(arrays, names)

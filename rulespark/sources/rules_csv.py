@@ -33,7 +33,7 @@ class CsvFile:
         if self.spark is None:
             return open(self.path, encoding="utf-8")
         try:
-            return io.StringIO(self.spark.read.option("wholetext", True).text(self.path).first()[0])
+            return io.StringIO(self.spark.read.text(self.path, wholetext=True).first()[0])
         except Exception as e:
             raise OSError(f"can't read {self.path}: {e}") from e
 

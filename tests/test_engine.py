@@ -73,10 +73,12 @@ def test_order_and_errors():
 
 
 def test_bulk_overlay():
-    r = rules("RULE_ID,PRIORITY,AGE,REGION,DISCOUNT,TEST_T\nRULE_ID,PRIORITY,BETWEEN,IN,SET,SET\nR1,10,(18,29),(APAC,EMEA),0.05,t\nR2,20,(18,30),(EMEA),0.10,t\nR3,5,,(APAC,EMEA),0.00,t", AGE="INTEGER", REGION="STRING", DISCOUNT="DECIMAL", TEST_T="STRING")
-    got = evaluate_bulk(r, {"REGION": "APAC"}, [{"AGE": 25}, {"AGE": 25, "REGION": "EMEA"}, {"AGE": 40}])
-    assert [d.rule_id for d in got] == ["R1", "R2", "R3"]
-    assert got[1].outputs == {"DISCOUNT": "0.10"}
+    """Cells of a variant go before those of the base; results keep the order of the variants."""
+    r = rules("RULE_ID,SIZE,BRAND,PRIORITY,TEST_NOTE,BIN\nRULE_ID,LT,NOT IN,PRIORITY,EQ,SET\nsmall,10,,2,x,a\nodd,,(Brand#11),1,,b", SIZE="INTEGER", BRAND="STRING", TEST_NOTE="STRING", BIN="STRING")
+    got = evaluate_bulk(r, {"BRAND": "Brand#55", "SIZE": 44}, [{}, {"SIZE": 3}, {"BRAND": "Brand#11", "SIZE": 9}])
+    assert [(d.rule_id, d.outputs) for d in got] == [("odd", {"BIN": "b"}), ("small", {"BIN": "a"}), ("small", {"BIN": "a"})]
+    with pytest.raises(EvaluationError):
+        evaluate_bulk(r, {"BRAND": "Brand#11"}, [{"SIZE": 50}])
 
 
 VALUES = {
@@ -91,7 +93,7 @@ CELLS = {"STRING": ("b", "c"), "INTEGER": ("0", "5"), "DECIMAL": ("0.5", "2.5"),
 
 
 @pytest.mark.parametrize("kind", list(VALUES))
-@pytest.mark.parametrize("strategy", ["case", "nested_loop"])
+@pytest.mark.parametrize("strategy", ["case", "nested_loop", "kernel"])
 def test_every_operator_and_type(spark, kind, strategy):
     """All predicates on a type, missing inputs too, against the plain evaluation."""
     ops = [o for o in Op if o.role == "input"]
@@ -112,7 +114,7 @@ def test_strategies_agree(spark):
     rows = [(i, k, n) for i, (k, n) in enumerate(itertools.product([None, "", "A", "C", "Z"], [None, 0, 7, 15, 99]))]
     df = spark.createDataFrame(rows, "id int, K string, N int")
     want = {i: evaluate(r, {"K": k, "N": n}).rule_id for i, k, n in rows}
-    for s in ("case", "nested_loop", "equi"):
+    for s in ("case", "nested_loop", "equi", "kernel"):
         assert {x["id"]: x["rule_id"] for x in score(r, df, s).collect()} == want, s
 
 
