@@ -6,19 +6,23 @@ that keeps many different gaps open, so later pieces find one that fits them exa
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import ship, staged, table
+from .runtime import scratch, ship, staged, table
 
 LENGTH = 4096
 END_ID = 1
 PIECES_PER_BLOCK = 40_000
+TURNS = 8  # of packing, at most
 CACHE_WORDS = 300_000  # tokenised words that a worker remembers
 
 _kept: dict = {}
@@ -27,7 +31,11 @@ _kept: dict = {}
 #: Letters that NFC leaves alone and that lower-case one to one: plain ones and those of U+00C0 to U+017F.
 _LATIN = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and ord(c) != 0x130)
 _EASY = re.compile(f"[!-~{_LATIN}]+")
-#: The tokenizer's own splitting pattern, for such text in lower case.
+# How a tokenizer splits text for which the short way below is right.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRETOKENIZERS = [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+#: The same splitting pattern, for such text in lower case.
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+")
 
 
@@ -38,11 +46,21 @@ def _byte_symbols() -> dict[int, str]:
     return {ord(c): "".join(symbol[b] for b in c.encode()) for c in _LATIN}
 
 
+def splits_at_blanks(path: str) -> bool:
+    """Whether a tokenizer file normalises and splits text as the fixed values above say, so runs without white space
+    may be encoded one by one."""
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    plain = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+    model = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+    return plain and model and spec["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS} and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": _PRETOKENIZERS}
+
+
 class _Encoded(dict):
     """Token ids, as little-endian bytes, of runs of text without ASCII white space; token boundaries fall on these.
 
     Most runs consist of plain Latin letters, digits and marks: they are split here and each part goes to the
-    tokenizer's model once. All others, and those that could hold a special token, go through the whole tokenizer.
+    tokenizer's model once. All others, and those that could hold a special token, go through the whole tokenizer. So do
+    whole texts where the tokenizer isn't one that ``splits_at_blanks``.
     """
 
     def __init__(self, path: str):
@@ -51,6 +69,7 @@ class _Encoded(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.short_way = splits_at_blanks(path)
         self.parts: dict[str, bytes] = {}
         self.symbols = _byte_symbols()
 
@@ -70,6 +89,8 @@ class _Encoded(dict):
         return out
 
     def text(self, text: bytes) -> bytes:
+        if not self.short_way:
+            return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > CACHE_WORDS:
             self.clear()
         if len(self.parts) > 2 * CACHE_WORDS:
@@ -145,12 +166,13 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
 def _packer(length: int, final: bool):
     full = length if final else length - length // 16
 
-    def pack(pdf):
-        pdf = pdf.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), length)
-        held = np.bincount(bins, weights=pdf["length"].to_numpy(), minlength=1)
-        pdf["bin"], pdf["offset"], pdf["done"] = bins, offsets, final | (held[bins] >= full)
-        return pdf
+    def pack(pieces: pa.Table) -> pa.Table:
+        sizes = pieces.column("length").to_numpy()
+        bins, offsets = sum_of_squares(sizes, length)
+        held = np.bincount(bins, weights=sizes, minlength=1)
+        for name, values in (("bin", bins), ("offset", offsets), ("done", final | (held[bins] >= full))):
+            pieces = pieces.append_column(name, pa.array(values))
+        return pieces
 
     return pack
 
@@ -158,30 +180,27 @@ def _packer(length: int, final: bool):
 def pack(pieces: DataFrame, length: int = LENGTH, per_block: int = PIECES_PER_BLOCK) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Pieces are dealt by hash into blocks that are packed side by side. Bins that stay emptier than 15/16 are opened
-    again and their pieces packed once more, in far fewer blocks, so blocks cost next to no room. An empty table gives
-    no rows; repeated rows are packed each.
+    Pieces get a number of their own and are dealt by it into blocks that are packed side by side. Bins that stay emptier
+    than 15/16 are opened again and their pieces packed once more, in far fewer blocks, so blocks cost next to no room. A
+    sequence's id is made of the turn, the block (below 2**24) and the bin in it (below 2**31, the rows that Arrow
+    holds), so no two share one. An empty table gives no rows; repeated rows are packed each; null ids are kept.
     """
-    shape = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, bin long, offset long, done boolean"
-    plain = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    parts, left, n = [], staged(pieces, "pieces"), None
-    base = 0
-    for turn in range(8):
-        n = left.count()
-        blocks = max(1, -(-n // per_block))
-        final = blocks == 1 or turn == 7
-        dealt = left.select(*plain, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(turn)), F.lit(blocks)).alias("block"))
-        out = staged(dealt.groupBy("block").applyInPandas(_packer(length, final), shape), "packed")
-        number = F.lit(base).cast("long") + F.col("block") * F.lit(2 * per_block) * 4 + F.col("bin")
-        parts.append(out.where("done").select(*plain, number.alias("sequence_id"), "offset"))
-        base += blocks * 8 * per_block
-        if final:
-            break
-        left = out.where("NOT done")
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionAll(p)
-    return whole
+    with scratch() as keep:
+        plain = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+        shape = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, block long, bin long, offset long, done boolean"
+        left = staged(pieces.withColumn("row", F.monotonically_increasing_id()).select(*plain), "pieces")
+        parts = []
+        for turn in range(TURNS):
+            blocks = max(1, -(-left.count() // per_block))
+            final = blocks == 1 or turn == TURNS - 1
+            dealt = left.select(*plain, F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(blocks)).alias("block"))
+            out = staged(dealt.groupBy("block").applyInArrow(_packer(length, final), shape), "packed")
+            number = F.lit(turn).cast("long") * F.lit(1 << 56) + F.col("block") * F.lit(1 << 32) + F.col("bin")
+            parts.append(keep(out).where("done").select(*plain[1:], number.alias("sequence_id"), "offset"))
+            if final:
+                break
+            left = out.where("NOT done")
+        return reduce(DataFrame.unionAll, parts)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
