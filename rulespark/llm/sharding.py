@@ -2,7 +2,8 @@
 
 Rows of equal text form a group that stays whole. Groups are dealt by hash into blocks of bounded size; every block
 runs differencing on its own, which leaves one partial partition (a sum per bin) with a small spread. The partial
-partitions of all blocks are then combined by the same rule, so only bins x blocks numbers reach the driver.
+partitions of FAN blocks at a time are then combined by the same rule in tasks, and those of FAN such again, until FAN at
+most are left for the driver.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import ship, shuffle_width, staged, table
+from .near_dup import hot, meet
+from .runtime import bounded, scratch, ship, shuffle_width, small_enough, staged, table
 from .wordhash import U, _C, _powers, mix, signed, slices
 
 SHARDS = 40
 GROUPS_PER_BLOCK = 50_000
 ROWS_PER_CELL = 50_000
+FAN = 1000  # partial partitions that one task, or the driver, combines
 
 
 def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,40 +94,67 @@ def _plan_blocks(shards: int):
     return plan
 
 
+def sums_of(rows, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes in order, and the sums of their bins, from rows (node, bin, sum)."""
+    node, bin_, total = (rows.column(c).to_numpy() for c in ("node", "bin", "sum"))
+    nodes, at = np.unique(node, return_inverse=True)
+    sums = np.zeros((len(nodes), shards), np.int64)
+    sums[at, bin_] = total
+    return nodes, sums
+
+
+def _combine(shards: int):
+    def combine(rows: pa.Table) -> pa.Table:
+        nodes, sums = sums_of(rows, shards)
+        where, total = difference(sums)
+        to = where.ravel()
+        return pa.table({"node": pa.array(np.repeat(nodes, shards).astype(np.int32)), "bin": pa.array(np.tile(np.arange(shards, dtype=np.int32), len(nodes))), "parent": pa.array(np.repeat(nodes // FAN, shards).astype(np.int32)), "to": pa.array(to.astype(np.int32)), "sum": pa.array(total[to])})
+
+    return combine
+
+
+def combined(sums: DataFrame, shards: int) -> DataFrame:
+    """block, bin, shard: where the bins of all blocks go. ``sums``: node, bin, sum of the blocks."""
+    spark = sums.sparkSession
+    level, at = sums, sums.select(F.col("node").alias("block"), "bin", "node", F.col("bin").alias("to"))
+    while not small_enough(level.select("node").distinct(), FAN):
+        out = staged(level.groupBy(F.expr(f"node div {FAN}")).applyInArrow(_combine(shards), "node int, bin int, parent int, to int, sum long"), "combined")
+        step = out.select("node", F.col("bin").alias("to"), "parent", F.col("to").alias("next"))
+        at = at.join(step, ["node", "to"]).select("block", "bin", F.col("parent").alias("node"), F.col("next").alias("to"))
+        level = out.select(F.col("parent").alias("node"), F.col("to").alias("bin"), "sum").distinct()
+    nodes, left = sums_of(level.toArrow().combine_chunks(), shards)  # FAN x shards rows at most
+    where, _ = difference(left)
+    final = spark.createDataFrame([(int(b), k, int(where[i, k])) for i, b in enumerate(nodes) for k in range(shards)], "node int, to int, shard int")
+    return at.join(F.broadcast(final), ["node", "to"]).select("block", "bin", "shard")
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, groups_per_block: int = GROUPS_PER_BLOCK) -> DataFrame:
     """Every row of ``docs`` with its size, text_crc32, shard and slot (0.. in its shard, without gaps).
 
     Equal texts share a shard, so a group larger than total/shards sets that shard's size; the rest stays even.
-    Null texts form one group of size 16 a row. Ties in size are broken by the text's hash. An empty table gives no rows.
+    Null texts form one group of size 16 a row. Ties in size are broken by the text's hash. Repeated rows get a slot each;
+    null ids are kept. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    facts = staged(text_facts(docs), "facts")
-    groups = facts.groupBy("group_key").agg(F.sum("size").alias("bytes"))
-    n_blocks = max(1, -(-facts.count() // groups_per_block))
-    groups = groups.withColumn("block", F.pmod(F.xxhash64("group_key"), F.lit(n_blocks)).cast("int"))
-    bins = staged(groups.groupBy("block").applyInPandas(_plan_blocks(shards), "block int, group_key long, bin int, sum long"), "bins")
-    # bins x blocks sums: 40 numbers for every 50,000 rows
-    per_block = bins.groupBy("block", "bin").agg(F.max("sum").alias("sum")).toPandas().sort_values(["block", "bin"])
-    blocks = per_block["block"].drop_duplicates().to_numpy()
-    sums = np.zeros((len(blocks), shards), np.int64)
-    sums[np.searchsorted(blocks, per_block["block"]), per_block["bin"]] = per_block["sum"]
-    where, _ = difference(sums)
-    final = [(int(b), k, int(where[i, k])) for i, b in enumerate(blocks) for k in range(shards)]
-    final = spark.createDataFrame(final, "block int, bin int, shard int")
-    placed = facts.join(bins.join(final, ["block", "bin"]).select("group_key", "shard"), "group_key")
-    return with_slots(placed, shards)
+    with scratch() as keep:
+        facts = staged(text_facts(docs).withColumn("turn", F.monotonically_increasing_id()), "facts")
+        groups = facts.groupBy("group_key").agg(F.sum("size").alias("bytes"))
+        n_blocks = max(1, -(-facts.count() // groups_per_block))
+        groups = groups.withColumn("block", F.pmod(F.xxhash64("group_key"), F.lit(n_blocks)).cast("int"))
+        bins = staged(groups.groupBy("block").applyInPandas(_plan_blocks(shards), "block int, group_key long, bin int, sum long"), "bins")
+        sums = staged(bins.groupBy(F.col("block").alias("node"), "bin").agg(F.max("sum").alias("sum")), "sums")
+        where = bins.join(bounded(combined(sums, shards)), ["block", "bin"]).select("group_key", "shard")
+        placed = staged(meet(facts, where, hot(facts, "group_key"), "group_key", "turn"), "placed")
+        return with_slots(keep(placed), shards)
 
 
 def with_slots(placed: DataFrame, shards: int) -> DataFrame:
-    """Number the rows of each shard. A shard is cut by a hash of its rows into cells; counts of cells give where each
-    begins, so no task orders a whole shard."""
-    placed = placed.withColumn("spread", F.xxhash64("doc_id", "text_crc32", "size"))
-    most = staged(placed, "placed")
-    largest = most.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    """Number the rows of each shard of a staged table. A shard is cut by a hash of its rows' numbers (turn) into cells;
+    counts of cells give where each begins, so no task orders a whole shard, and repeated rows don't share a cell."""
+    largest = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     cells = max(1, -(-largest // ROWS_PER_CELL), min(8, shuffle_width(placed.sparkSession) // shards + 1))
-    most = most.withColumn("cell", F.pmod("spread", F.lit(cells)).cast("int"))
+    most = placed.withColumn("cell", F.pmod(F.xxhash64("turn"), F.lit(cells)).cast("int"))
     begins = most.groupBy("shard", "cell").count().withColumn("begin", F.expr("sum(count) over (partition by shard order by cell) - count"))
-    rank = F.expr("row_number() over (partition by shard, cell order by spread, doc_id) - 1")
+    rank = F.expr("row_number() over (partition by shard, cell order by turn) - 1")
     return most.withColumn("r", rank).join(begins, ["shard", "cell"]).withColumn("slot", F.col("begin") + F.col("r"))
 
 
