@@ -31,7 +31,7 @@ _pow: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow.get("up", ())) < n + 1:
-        size = max(1 << 21, n + 1)
+        size = max(1 << 20, n + 1)
         up, down = np.full(size, _B, U), np.full(size, pow(_B, -1, 1 << 64), U)
         up[0] = down[0] = 1
         _pow["up"], _pow["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -51,7 +51,7 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def slices(col, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(col, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``max_bytes``; a longer text comes alone, whole.
     Null counts as empty."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
@@ -69,13 +69,14 @@ def slices(col, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = ALNUM):
-    """Hashes of all words, the range of words of each row, and their byte starts and ends."""
+def words(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = ALNUM, mask: np.ndarray | None = None):
+    """Hashes of all words, the range of words of each row, and their byte starts and ends. ``keep``: the values of bytes
+    of words; ``mask``: which bytes are."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, U), np.zeros(len(offs), np.int64), z, z
-    w = keep[data]
+    w = keep[data] if mask is None else mask
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.empty(n, bool)
