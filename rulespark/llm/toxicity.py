@@ -103,8 +103,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, learn) -> dict | None:
     rows = docs.where(learn & F.col("text").isNotNull())
     order = [F.xxhash64(F.lit(7), "doc_id"), F.col("doc_id")]
     ids_p = marks.where("toxic = 1").select("doc_id").orderBy(*order).limit(FIT_TOXIC)
-    ids_u = rows.select("doc_id").orderBy(*order).limit(FIT_UNLABELLED)
-    pick = lambda ids, kind: rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(F.lit(kind).alias("kind"), "text")
+    ids_u = rows.select("doc_id").distinct().orderBy(*order).limit(FIT_UNLABELLED)
+    # one row of each id, so repeated ids don't widen the sample
+    pick = lambda ids, kind: rows.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.lit(kind).alias("kind"), "text")
     sample = pick(ids_p, 1).unionAll(pick(ids_u, 0)).mapInArrow(_slots, "kind int, slots array<int>").toArrow()
     if not sample.num_rows:
         return None
@@ -118,12 +119,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame:
     """doc_id and score (0 to 1) of each row of ``docs``, learned from the labels of the documents where ``learn``
     holds (default: crc32(doc_id as text) mod 3 is not 1).
 
-    Null and empty texts get the score of a text without telling words. Without any toxic label all scores are 0.
+    Null and empty texts get the score of a text without telling words. An empty table gives no rows. Without any toxic label all scores are 0.
     Repeated rows are scored each; a document labelled twice counts as toxic if one label says so.
     """
     spark = docs.sparkSession
     ship(spark)
     model = fit_on(docs.select("doc_id", "text"), labels, fold("doc_id", 3) != 1 if learn is None else learn)
+    # read by the plan that is returned, so it stays until the session ends
     model = spark.sparkContext.broadcast(model or {"weights": np.zeros(1 << BITS, np.float32), "bias": -np.inf})
 
     def run(batches):
