@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import small_enough, table
+from .runtime import small_enough, staged, table
 
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 PREFIX_HEX = 8
 BROADCAST_RULES = 100_000
+HOT = 1000
 
 
 def url_parts(url):
@@ -60,10 +61,28 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Dat
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` with host, path, rule, verdict. Null or scheme-less urls have empty host and path. Columns of these
-    names are replaced; repeated rows stay."""
+    """``pages`` with host, path, rule, verdict. Null or scheme-less urls have empty host and path, and never match.
+    Columns of these names are replaced; repeated rows stay; an empty table gives no rows.
+
+    Only (host, path) pairs that a rule fits are joined back. Those of more than one in HOT of the rows are broadcast
+    apart from the rest, so no task gets all rows of one url.
+    """
     parts = with_parts(pages.drop("host", "path", "rule", "verdict"), url)
-    return parts.join(judge_urls(parts, rules, default), ["host", "path"], "left")
+    judged = staged(judge_urls(parts, rules, default).where("rule IS NOT NULL"), "judged")
+    if small_enough(judged, BROADCAST_RULES):
+        out = parts.join(F.broadcast(judged), ["host", "path"], "left")
+    else:
+        total = parts.count()
+        common = parts.where(F.col("host") != "").groupBy("host", "path").count().where(F.col("count") * HOT > total).select("host", "path")
+        common = staged(common, "common")  # fewer than HOT rows
+        told = judged.join(F.broadcast(common), ["host", "path"])
+        marked = parts.join(F.broadcast(common.withColumn("__common", F.lit(True))), ["host", "path"], "left")
+        # rows without a host match nothing, so they need no join
+        rest = marked.where("__common IS NULL AND host <> ''").drop("__common").join(judged, ["host", "path"], "left")
+        hot = marked.where("__common").drop("__common").join(F.broadcast(told), ["host", "path"], "left")
+        none = marked.where("host = ''").drop("__common").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(None).cast("string"))
+        out = rest.unionByName(hot).unionByName(none)
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
