@@ -7,6 +7,8 @@ full distance exceeds the k-th best so far. What survives is measured exactly, o
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +17,11 @@ from pyspark.sql import functions as F
 from .runtime import ship, staged, table
 
 FIT_SAMPLE = 20_000  # vectors the lists are fitted on, at most
-LIST_ROWS = 64  # vectors a list should hold, on average
-MAX_LISTS = 1024
-PROBED = 0.5  # share of lists probed, at least MIN_PROBES: for vectors without clusters; fewer do for clustered ones
-MIN_PROBES = 16
+MAX_LISTS = 2048  # lists: as many as the square root of twice the vectors, but each with SAMPLE_ROWS of the sample
+SAMPLE_ROWS = 8
+TRIED = 400  # sample vectors whose true neighbours tell how many lists to probe
+WANTED = 0.97  # share of their true neighbours that the probed lists must hold
+MIN_PROBES = 4
 BLOCK_ROWS = 8192  # rows scanned by one task group: neighbouring lists together, larger lists split
 COLUMNS = 16  # columns read between two tests
 EPSILON = 2.1  # of the test: sqrt(D/d) * partial > (1 + eps/sqrt(d)) * bound
@@ -41,8 +44,14 @@ def matrix(col) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which changes no cosine, so squares of tiny and huge numbers stay in range."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps tiny and huge vectors in range
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -59,12 +68,25 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarra
     return c
 
 
-def fit_lists(df: DataFrame, n: int) -> np.ndarray:
-    """Centroids of a sample of FIT_SAMPLE vectors at most, in the rotated space."""
+def fit_lists(df: DataFrame, n: int, k: int) -> tuple[np.ndarray, int]:
+    """Centroids of a sample of FIT_SAMPLE vectors at most, in the rotated space, and how many lists a query probes: the
+    fewest whose lists hold WANTED of the true ``k`` nearest (in the sample) of TRIED sample vectors."""
     sample = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_SAMPLE).select("v").toArrow()
     x = unit(matrix(sample.column("v")))
-    k = int(min(MAX_LISTS, max(1, n // LIST_ROWS), len(x)))
-    return kmeans(x @ rotation(x.shape[1]), k)
+    lists = int(min(MAX_LISTS, max(1, round((2 * n) ** 0.5)), max(1, len(x) // SAMPLE_ROWS)))
+    x = x @ rotation(x.shape[1])
+    centroids = kmeans(x, lists)
+    home = np.concatenate([(part @ centroids.T).argmax(1) for part in np.array_split(x, -(-len(x) // 4096))])
+    needed = []
+    for q in range(min(TRIED, len(x))):
+        near = x @ x[q]
+        near[q] = -np.inf
+        best = np.argpartition(-near, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)] if len(x) > 1 else np.zeros(0, int)
+        order = np.empty(lists, np.int64)
+        order[np.argsort(-(centroids @ x[q]), kind="stable")] = np.arange(lists)
+        needed += (order[home[best]] + 1).tolist()
+    probes = int(np.quantile(needed, WANTED, method="higher")) if needed else lists
+    return centroids, min(lists, max(MIN_PROBES, probes))
 
 
 def scan(cand: np.ndarray, query: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
@@ -127,6 +149,7 @@ def _searcher(k: int):
             qids, qx = right.column("query_id").to_numpy(), matrix(right.column("v"))
             rot = rotation(x.shape[1])
             rx, rq = unit(x) @ rot, unit(qx) @ rot
+            x, qx = scaled(x), scaled(qx)
             norm, qnorm = np.sqrt((x * x).sum(1)), np.sqrt((qx * qx).sum(1))
             home = left.column("lists").combine_chunks().flatten().to_numpy()
             probed = right.column("lists").combine_chunks()
@@ -149,31 +172,34 @@ def _searcher(k: int):
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """The ``k`` nearest by cosine of each vector whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
-    Null ids and unusable vectors (see ``usable``) take no part, nor do vectors of another length than the commonest.
-    Repeated ids: a query skips all rows of its own id; a candidate id counts once, by its best score. Ties go to the
-    smaller id. An empty table gives no rows. The index holds every row; its lists are fitted on FIT_SAMPLE rows.
+    Null ids and unusable vectors (see ``usable``) take no part. Vectors of different lengths have no cosine: each length
+    is searched by itself. Repeated ids: a query skips all rows of its own id; a candidate id counts once, by its best
+    score. Ties go to the smaller id. An empty table gives no rows. The index holds every row; its lists are fitted on
+    FIT_SAMPLE rows.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = usable(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v")).where(F.col(vec_id).isNotNull()), "v")
-    out = "query_id long, rank int, vec_id long, score double"
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
-        return spark.createDataFrame([], out)
-    rows = rows.where(F.size("v") == dims["dim"])
-    centroids = fit_lists(rows, dims["count"])
-    probes = int(min(len(centroids), max(MIN_PROBES, np.ceil(PROBED * len(centroids)))))
-    buckets = int(min(len(centroids), max(1, -(-dims["count"] // BLOCK_ROWS))))
+    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()  # a row for each length
+    found = [search(rows.where(F.size("v") == r["dim"]), r["count"], every, k) for r in sizes]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    best = reduce(DataFrame.unionAll, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = best.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def search(rows: DataFrame, n: int, every: int, k: int) -> DataFrame:
+    """query_id, vec_id, score of the nearest found of ``rows`` (vec_id, v; vectors of one length, ``n`` of them)."""
+    centroids, probes = fit_lists(rows, n, k)
+    buckets = int(min(len(centroids), max(1, -(-n // BLOCK_ROWS))))
     schema = "vec_id long, v array<double>, lists array<int>, bucket int"
-    dealt = staged(rows.mapInArrow(_dealer(centroids, 0, buckets), schema), "lists")
+    dealt = staged(rows.mapInArrow(_dealer(centroids, 0, buckets), schema).withColumn("turn", F.monotonically_increasing_id()), "lists")
     blocks = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # MAX_LISTS rows at most
-    cand = dealt.join(F.broadcast(blocks), "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    cand = dealt.join(F.broadcast(blocks), "bucket").withColumn("block", F.pmod(F.xxhash64("turn"), F.col("blocks")).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(_dealer(centroids, probes, buckets), schema)
     queries = queries.join(F.broadcast(blocks), "bucket").select(F.col("vec_id").alias("query_id"), "v", "lists", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    found = cand.select("bucket", "block", "vec_id", "v", "lists").groupBy("bucket", "block").cogroup(queries.groupBy("bucket", "block")).applyInArrow(_searcher(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = best.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    return cand.select("bucket", "block", "vec_id", "v", "lists").groupBy("bucket", "block").cogroup(queries.groupBy("bucket", "block")).applyInArrow(_searcher(k), "query_id long, vec_id long, score double")
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
