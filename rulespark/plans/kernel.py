@@ -167,6 +167,8 @@ class Kernel:
         """``columns``: (Column, Spark type of its operands); ``operand_codes``: (distinct operands, number by rule)."""
         self.start, self.n = start, end - start
         self.operands = [Operands(c, kind, values, which[start:end]) for (c, kind), (values, which) in zip(columns, operand_codes, strict=True)]
+        # conditions that most rules have come first: they leave the others few pairs
+        self.order = sorted(range(len(self.operands)), key=lambda i: int(self.operands[i].blank.sum()))
         self.root = Node(np.arange(self.n, dtype=np.int32), self.operands, set(range(len(self.operands))))
 
     def nbytes(self) -> int:
@@ -175,9 +177,9 @@ class Kernel:
     def _met(self, codes, row, rule, key):
         """Which pairs of rows and rules meet all conditions."""
         alive = np.arange(len(row))
-        for i, o in enumerate(self.operands):
+        for i in self.order:
             if i != key and len(alive):
-                alive = alive[o.holds(codes[i][row[alive]], rule[alive])]
+                alive = alive[self.operands[i].holds(codes[i][row[alive]], rule[alive])]
         return alive
 
     def first(self, codes: list[np.ndarray], size: int) -> np.ndarray:
