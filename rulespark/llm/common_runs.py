@@ -1,9 +1,8 @@
 """Runs of words that several documents share, wherever lines break.
 
-Every run of RUN words that two documents share is found: the lowest of each RUN - SEED + 1 hashes of SEED words is kept
-on both sides (winnowing, over each text alone), so both keep one alike. Around seeds of more than one document all
-windows of RUN words are compared by a hash; neighbouring windows that the first document holds side by side form a run.
-No pairs of documents are made: a window is compared with its first holder only, and equal texts are handled as one.
+The lowest of each WIDTH hashes of SEED words is kept (winnowing, over each text alone), so two texts that share RUN words
+keep one alike. Seeds of several texts are met with their first holder only; seeds that overlap, on both sides alike, make
+a run, which is then extended word by word. No pairs of documents are made, and equal texts are handled as one.
 """
 
 from __future__ import annotations
@@ -17,58 +16,96 @@ from pyspark.sql import functions as F
 
 from .near_dup import HEAVY, SHINGLE, SIMILARITY, hot, meet
 from .runtime import dropped, small_enough, staged
-from .wordhash import shingles, signed, slices, words
+from .wordhash import lists, shingles, signed, slices, words
 
-RUN, SEED = 20, 10
-BROADCAST_IDS = 1_000_000
+SEED, WIDTH = 12, 13
+RUN = SEED + WIDTH - 1  # shared runs of so many words hold a seed
+EDGE = WIDTH - 1  # words by which a run may go on beyond its seeds, at most
+LEAST = 20  # words of a text's stretch of runs, beside each other or overlapping, that is reported
+ROWS = 500  # texts whose runs are held as Python objects at a time
+BROADCAST_IDS = 200_000
 
 
 def seeds(h: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first word in the row, hash) of the winnowed seeds of rows of at least RUN words."""
     s, own = shingles(h, ranges, SEED)
-    width = RUN - SEED + 1
-    if len(s) < width:
-        z = np.zeros(0, np.int64)
-        return z, z, s[:0]
     row = np.repeat(np.arange(len(own) - 1), np.diff(own))
-    at = np.flatnonzero(np.arange(len(s)) + width <= own[1:][row])
+    at = np.flatnonzero(np.arange(len(s)) + WIDTH <= own[1:][row])
     best, place = s[at].copy(), at.copy()
-    for j in range(1, width):
+    for j in range(1, WIDTH):
         low = s[at + j] <= best
         best[low], place[low] = s[at[low] + j], at[low] + j
     place = np.unique(place)
     return row[place], place - own[row[place]], s[place]
 
 
-def _seeds(batches):
+def once(batches):
+    """Rows of texts that this task hasn't met before."""
+    seen: set[int] = set()
     for batch in batches:
+        take = []
+        for i, t in enumerate(batch.column("text_hash").to_pylist()):
+            if t not in seen:
+                seen.add(t)
+                take.append(i)
+        if take:
+            yield batch.take(pa.array(take))
+
+
+def _seeds(batches):
+    for batch in once(batches):
         for lo, hi, data, offs in slices(batch.column("text")):
             h, ranges, _, _ = words(data, offs)
             row, at, s = seeds(h, ranges)
-            ids, texts = (batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("doc_id", "text_hash"))
-            yield pa.RecordBatch.from_arrays([ids, texts, pa.array(at.astype(np.int32)), pa.array(signed(s))], ["doc_id", "text_hash", "at", "seed"])
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash").slice(lo, hi - lo).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(signed(s))], ["text_hash", "at", "seed"])
+
+
+def chains(at: np.ndarray, f_text: np.ndarray, f_at: np.ndarray):
+    """First and last of the seeds, in an order that is returned too, that overlap the next on the same diagonal."""
+    order = np.lexsort((at, f_at - at, f_text))
+    at, f_text, f_at = at[order], f_text[order], f_at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > SEED) | (np.diff(f_at - at) != 0) | (f_text[1:] != f_text[:-1])
+    first = np.flatnonzero(new)
+    return order[first], order[np.append(first[1:], len(at)) - 1]
 
 
-def _windows(batches):
+def _chains(batches):
+    names = ["text_hash", "at", "last", "f_doc", "f_text", "f_at"]
     for batch in batches:
+        flat, turns = batch.column("own").flatten(), batch.column("own").offsets.to_numpy()
+        at, f_doc, f_text, f_at = (flat.field(c).to_numpy() for c in ("at", "f_doc", "f_text", "f_at"))
+        parts = []
+        for i, (lo, hi) in enumerate(zip(turns[:-1] - turns[0], turns[1:] - turns[0], strict=True)):
+            first, last = chains(at[lo:hi], f_text[lo:hi], f_at[lo:hi])
+            parts.append((np.full(len(first), i), first + lo, last + lo))
+        row, first, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+        yield pa.RecordBatch.from_arrays([batch.column("text_hash").take(pa.array(row)), pa.array(at[first]), pa.array(at[last] + np.int32(SEED)), pa.array(f_doc[first]), pa.array(f_text[first]), pa.array(f_at[first])], names)
+
+
+def _edges(batches):
+    """What stands around stretches of words: hashes of the EDGE words before and behind, and the bytes where each of
+    these words begins or ends."""
+    for batch in once(batches):
         for lo, hi, data, offs in slices(batch.column("text")):
             h, ranges, starts, ends = words(data, offs)
             own = batch.slice(lo, hi - lo)
-            spots = own.column("spots")
-            row = np.repeat(np.arange(hi - lo), np.diff(spots.offsets.to_numpy()))
-            seed = spots.flatten().to_numpy() + ranges[:-1][row]
-            # a window that holds a seed begins up to RUN - SEED words before it
-            mark = np.zeros(len(h) + 1, np.int64)
-            np.add.at(mark, np.maximum(seed - (RUN - SEED), ranges[:-1][row]), 1)
-            np.add.at(mark, seed + 1, -1)
-            s, turns = shingles(h, ranges, RUN)
-            of = np.repeat(np.arange(hi - lo), np.diff(turns))
-            first = np.arange(len(s)) - turns[of] + ranges[of]
-            take = np.flatnonzero((np.cumsum(mark)[first] > 0) & (first + RUN <= ranges[1:][of]))
-            of, first = of[take], first[take]
-            whole = lambda c: own.column(c).take(pa.array(of))
-            ints = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s[take])), whole("text_hash"), whole("low"), whole("high"), ints(first - ranges[of]), ints(starts[first] - offs[of]), ints(ends[first + RUN - 1] - offs[of])], ["win", "text_hash", "low", "high", "at", "begin", "end"])
+            asked = own.column("asked")
+            row = np.repeat(np.arange(hi - lo), np.diff(asked.offsets.to_numpy()))
+            flat = asked.flatten()
+            at, last = (flat.field(c).to_numpy() for c in ("at", "last"))
+            first, end = at + ranges[:-1][row], last + ranges[:-1][row]
+            before, behind = np.minimum(at, EDGE), np.minimum(ranges[1:][row] - end, EDGE)
+            code = signed(h).astype(np.int32) if len(h) else np.zeros(0, np.int32)
+
+            def walk(count, begin, step, values):
+                """Lists of the ``count`` values from ``begin`` on."""
+                to = np.concatenate([[0], np.cumsum(count)])
+                j = np.arange(to[-1]) - np.repeat(to[:-1], count)
+                return lists(values[np.repeat(begin, count) + step * j].astype(np.int32), to)
+
+            begins, stops = starts - offs[np.searchsorted(offs, starts, "right") - 1], ends - offs[np.searchsorted(offs, starts, "right") - 1]
+            yield pa.RecordBatch.from_arrays([own.column("text_hash").take(pa.array(row)), pa.array(at), pa.array(last), walk(before, first - 1, -1, code), walk(behind, end, 1, code), walk(before + 1, first, -1, begins), walk(behind + 1, end - 1, 1, stops)], ["text_hash", "at", "last", "before", "behind", "begins", "ends"])
 
 
 def joined(runs: list, similarity: float):
@@ -93,61 +130,105 @@ def joined(runs: list, similarity: float):
     return out
 
 
-def runs_of(own: int, similarity: float, at, begin, end, f_doc, f_text, f_at):
-    """(at, begin, end, n, f_doc, f_text, f_at) of the runs of one text, from its windows that others hold too."""
-    at, pick = np.unique(at, return_index=True)
-    begin, end, f_doc, f_text, f_at = (x[pick] for x in (begin, end, f_doc, f_text, f_at))
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) != 1) | (np.diff(f_at) != 1) | (f_text[1:] != f_text[:-1])
-    i = np.flatnonzero(new)
-    j = np.append(i[1:], len(at)) - 1
-    runs = list(zip(*(x.tolist() for x in (at[i], begin[i], end[j], at[j] - at[i] + RUN, f_doc[i], f_text[i], f_at[i])), strict=True))
-    # what stays is not joined
-    return [r for r in runs if r[5] == own] + joined([r for r in runs if r[5] != own], similarity)
+def long_stretches(runs: list) -> list:
+    """Those of runs (at, begin, end, n, ...) in order whose stretch has LEAST words: runs that overlap or stand beside
+    each other, with at most one word between, are a stretch."""
+    out, own, first, last = [], [], 0, -2
+    for run in [*runs, (1 << 62, 0, 0, 0)]:
+        if run[0] > last + 1:
+            if last - first >= LEAST:
+                out += own
+            own, first = [], run[0]
+        own.append(run)
+        last = max(last, run[0] + run[3])
+    return out
+
+
+def few(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
 
 
 def _runs(batches, similarity: float):
     names = ["text_hash", "at", "begin", "end", "n", "first_doc", "first_text", "first_at"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-    for batch in batches:
-        flat = batch.column("own").flatten()
-        cols = [flat.field(c).to_numpy() for c in ("at", "begin", "end", "f_doc", "f_text", "f_at")]
-        turns = batch.column("own").offsets.to_numpy()
-        turns = turns - turns[0]
-        texts = batch.column("text_hash").to_pylist()
-        out = [(t, *r) for t, lo, hi in zip(texts, turns[:-1], turns[1:], strict=True) for r in runs_of(t, similarity, *(c[lo:hi] for c in cols))]
+    fields = ("at", "begin", "end", "n", "f_doc", "f_text", "f_at")
+    for batch in few(batches):
+        out = []
+        for text, own in zip(batch.column("text_hash").to_pylist(), batch.column("own").to_pylist(), strict=True):
+            runs = sorted({tuple(r[c] for c in fields) for r in own}, key=lambda r: (r[0], -r[3], r[5]))
+            out += [(text, *r) for r in joined(long_stretches(runs), similarity)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
 
+def _homes(batches):
+    """Stretches of the first texts that runs lie in: overlapping ones are one."""
+    names = ["text_hash", "home", "home_end", "begin", "end", "first_doc"]
+    for batch in few(batches):
+        out = []
+        for text, own in zip(batch.column("f_text").to_pylist(), batch.column("own").to_pylist(), strict=True):
+            for s in sorted(own, key=lambda s: (s["at"], s["last"])):
+                if out and out[-1][0] == text and s["at"] < out[-1][2]:
+                    if s["last"] > out[-1][2]:
+                        out[-1][2], out[-1][4] = s["last"], s["end"]
+                else:
+                    out.append([text, s["at"], s["last"], s["begin"], s["end"], s["f_doc"]])
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+
+def alike(a: str, b: str):
+    """How many elements two arrays have alike from their first on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, False).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(same))
+
+
 def common_runs(plain: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, begin, end, n, passage, first_doc for each row of ``plain`` (doc_id, text, text_hash; no null
-    ids) and each run of at least RUN words that another document holds too. first_doc is the smallest doc_id that
-    holds the run's windows; passage is one for all runs that lie in the same stretch of it. Runs of an edited copy are
-    joined, with the edited words, where the ``joined`` spans are similar."""
-    found = staged(plain.mapInArrow(_seeds, "doc_id long, text_hash long, at int, seed long"), "seeds")
-    shared = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size"))
-    shared = staged(shared.where("low < high").select("seed", "size"), "shared_seeds")
+    ids) and each run of words that another document holds too, in stretches of at least LEAST words. first_doc is the smallest doc_id that holds the run's seeds; passage is one for all runs
+    that lie in the same stretch of it. Runs of an edited copy are joined, with the edited words, where the ``joined``
+    spans are similar. Copies of a whole text are not compared with each other here."""
+    texts = staged(plain.groupBy("text_hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "texts")
+    found = staged(plain.mapInArrow(_seeds, "text_hash long, at int, seed long"), "seeds")
+    shared = staged(found.groupBy("seed").agg(F.count("*").alias("size")).where("size > 1"), "shared_seeds")
     total = shared.agg(F.sum("size")).first()[0] or 0
-    held = meet(found, shared.select("seed"), shared.where(F.col("size") > total / HEAVY).select("seed"), "seed", "doc_id")
-    texts = held.groupBy("text_hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.collect_set("at").alias("spots"))
-    texts = staged(texts, "spots")
+    heavy = shared.where(F.col("size") > total / HEAVY).select("seed")
+    held = staged(meet(found, shared.select("seed"), heavy, "seed", "text_hash").join(texts, "text_hash"), "held")
     dropped(found)
-    # one row of each text
-    ids = texts.select(F.col("low").alias("doc_id"), "text_hash")
+    first = held.groupBy("seed").agg(F.min(F.struct("low", "text_hash", "at")).alias("f"), F.max("text_hash").alias("other"), F.min("text_hash").alias("one")).where("one < other")
+    first = first.select("seed", F.col("f.low").alias("f_doc"), F.col("f.text_hash").alias("f_text"), F.col("f.at").alias("f_at"))
+    spots = meet(held, first, heavy, "seed", "text_hash").where("text_hash <> f_text AND high > f_doc")
+    own = spots.groupBy("text_hash").agg(F.collect_set(F.struct("at", "f_doc", "f_text", "f_at")).alias("own"))
+    spot = lambda text, at, last: F.xxhash64(text, at, last)
+    runs = own.mapInArrow(_chains, "text_hash long, at int, last int, f_doc long, f_text long, f_at int").withColumn("f_last", F.expr("f_at + last - at"))
+    runs = staged(runs.select("*", spot("text_hash", "at", "last").alias("spot"), spot("f_text", "f_at", "f_last").alias("f_spot")), "chains")
+    dropped(held)
+    # the words around both ends of each run, in its text and in the first
+    asked = runs.select("text_hash", "at", "last").unionAll(runs.select(F.col("f_text"), "f_at", "f_last")).distinct()
+    asked = staged(asked.groupBy("text_hash").agg(F.collect_list(F.struct("at", "last")).alias("asked")), "asked")
+    ids = asked.select("text_hash")
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    rows = plain.join(ids, ["doc_id", "text_hash"], "left_semi").select("text_hash", "text").join(texts, "text_hash")
-    wins = staged(rows.mapInArrow(_windows, "win long, text_hash long, low long, high long, at int, begin int, end int"), "windows")
-    first = wins.groupBy("win").agg(F.min(F.struct("low", "text_hash", "at")).alias("f"), F.max("high").alias("high"), F.count("*").alias("size"))
-    first = staged(first.where("f.low < high").select("win", F.col("f.low").alias("f_doc"), F.col("f.text_hash").alias("f_text"), F.col("f.at").alias("f_at"), "size"), "first")
-    total = first.agg(F.sum("size")).first()[0] or 0
-    held = meet(wins.select("win", "text_hash", "at", "begin", "end"), first.drop("size"), first.where(F.col("size") > total / HEAVY).select("win"), "win", "text_hash")
-    own = held.groupBy("text_hash").agg(F.collect_list(F.struct("at", "begin", "end", "f_doc", "f_text", "f_at")).alias("own"))
+    rows = plain.select("text_hash", "text").join(ids, "text_hash", "left_semi").join(asked, "text_hash")
+    edges = rows.mapInArrow(_edges, "text_hash long, at int, last int, before array<int>, behind array<int>, begins array<int>, ends array<int>")
+    edges = staged(edges.dropDuplicates(["text_hash", "at", "last"]).withColumn("spot", spot("text_hash", "at", "last")).drop("text_hash", "at", "last"), "edges")
+    theirs = edges.select(F.col("spot").alias("f_spot"), *[F.col(c).alias("f_" + c) for c in ("before", "behind", "begins", "ends")])
+    both = meet(runs.join(edges, "spot"), theirs, hot(runs, "f_spot"), "f_spot", "spot")
+    both = both.select("*", alike("before", "f_before").alias("l"), alike("behind", "f_behind").alias("r"))
+    both = staged(both.selectExpr("text_hash", "at - l AS at", "begins[l] AS begin", "ends[r] AS end", "last - at + l + r AS n", "f_doc", "f_text", "f_at - l AS f_at", "f_last + r AS f_last", "f_begins[l] AS f_begin", "f_ends[r] AS f_end"), "extended")
+    own = both.groupBy("text_hash").agg(F.collect_list(F.struct("at", "begin", "end", "n", "f_doc", "f_text", "f_at")).alias("own"))
     runs = staged(own.mapInArrow(partial(_runs, similarity=similarity), "text_hash long, at int, begin int, end int, n int, first_doc long, first_text long, first_at int"), "runs")
-    dropped(wins)
-    dropped(first)
-    # the stretch of the first document that a run lies in
-    home = runs.where("text_hash = first_text AND at = first_at").select("first_text", F.col("at").alias("home"), (F.col("at") + F.col("n")).alias("home_end"))
-    runs = meet(runs, home, hot(runs, "first_text"), "first_text", "text_hash").where("first_at >= home AND first_at < home_end - %d" % (RUN - 1))
-    runs = runs.select("text_hash", "begin", "end", "n", F.xxhash64("first_text", "home").alias("passage"), "first_doc")
+    # the stretches of the first documents that runs lie in; as many a text as it has words, at most
+    homes = both.where(f"n >= {LEAST}").groupBy("f_text", "f_at").agg(F.max(F.struct("f_last", "f_end")).alias("far"), F.min("f_begin").alias("begin"), F.min("f_doc").alias("f_doc"))
+    homes = homes.groupBy("f_text").agg(F.collect_list(F.struct(F.col("f_at").alias("at"), F.col("far.f_last").alias("last"), "begin", F.col("far.f_end").alias("end"), "f_doc")).alias("own"))
+    homes = staged(homes.mapInArrow(_homes, "text_hash long, home int, home_end int, begin int, end int, first_doc long"), "homes")
+    at_home = homes.groupBy(F.col("text_hash").alias("first_text")).agg(F.collect_list(F.struct("home", "home_end")).alias("homes"))
+    runs = meet(runs, at_home, hot(runs, "first_text"), "first_text", "text_hash", "left")
+    home = F.expr("coalesce(get(filter(homes, h -> first_at >= h.home AND first_at < h.home_end), 0).home, first_at)")
+    runs = runs.select("text_hash", "begin", "end", "n", F.xxhash64("first_text", home).alias("passage"), "first_doc", F.lit(False).alias("own"))
+    homes = homes.select("text_hash", "begin", "end", F.expr("home_end - home AS n"), F.xxhash64("text_hash", "home").alias("passage"), "first_doc", F.lit(True).alias("own"))
     docs = staged(plain.select("doc_id", "text_hash"), "rows")
-    return meet(docs, runs, hot(docs, "text_hash"), "text_hash", "doc_id")
+    out = meet(docs, staged(runs.unionAll(homes), "spans"), hot(docs, "text_hash"), "text_hash", "doc_id")
+    # a first text's stretches stand for its first document; copies of its text are no runs
+    return out.where("own = (doc_id = first_doc)").drop("own")

@@ -1,10 +1,9 @@
 """Repeated passages by paragraph MinHash banding.
 
-A paragraph is a line of at least MIN_LINE words. Lines that share a band of MinHash values are compared by the exact
-Jaccard similarity of their five-word shingles, and linked lines form components. Lines of more than CUT_LINE words are
-also cut where a hash of two words is lowest among its neighbours, so a passage inside a longer line is cut alike
-wherever it stands; such pieces are compared by their words alone. Of a component that spans documents, the occurrences
-in the document of the smallest id stay. Runs of words that documents share over line breaks are found by ``common_runs``.
+A paragraph is a line of at least LEAST words; shorter lines are joined with their neighbours, so every word is in one.
+Paragraphs that share a band of MinHash values are compared by the exact Jaccard similarity of their five-word shingles,
+and linked ones form components. Of a component that spans documents, the occurrences in the document of the smallest id
+stay. Runs of words that documents share inside paragraphs or across their borders are added by ``common_runs``.
 """
 
 from __future__ import annotations
@@ -13,16 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common_runs import common_runs
-from .near_dup import SHINGLE, SIMILARITY, bands, linked, meet, shared_buckets
-from .runtime import ship, small_enough, staged, table
+from .near_dup import HEAVY, SHINGLE, SIMILARITY, bands, linked, meet, shared_buckets
+from .runtime import scratch, ship, small_enough, staged, table
 from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed, slices, words
 
-MIN_LINE, CUT_LINE, MIN_PIECE, REACH = 20, 40, 8, 5
+LEAST = 20  # words of a paragraph, where its document has so many
 BANDS, ROWS = 8, 3  # find a pair of similarity 0.8 with 0.997
 NO_ID = 2**63 - 1
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def min_hashes(e: np.ndarray, ranges: np.ndarray, k: int) -> np.ndarray:
@@ -37,90 +37,91 @@ def line_offsets(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.union1d(offs, np.flatnonzero(data == 10) + 1)
 
 
-def cut_places(h: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-    """Words that a piece begins with: a hash of the word and the one before is the lowest of REACH on both sides. Words
-    of other rows don't count."""
-    before = np.concatenate([np.zeros(1, U), h[:-1]])
-    before[ranges[:-1][np.diff(ranges) > 0]] = 0
-    g = mix(h + before * _C[1])
-    n = np.diff(ranges)
-    left = np.arange(len(h)) - np.repeat(ranges[:-1], n)
-    right = np.repeat(ranges[1:], n) - 1 - np.arange(len(h))
-    wide = np.concatenate([np.zeros(REACH, U), g, np.zeros(REACH, U)])
-    least = np.ones(len(g), bool)
-    for j in range(2 * REACH + 1):
-        if j != REACH:
-            other = wide[j : j + len(g)]
-            least &= ((g < other) | (left < REACH - j)) if j < REACH else ((g <= other) | (right < j - REACH))
-    return np.flatnonzero(least)
+def paragraph_lines(n: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
+    """First and last line of each paragraph, from lines' words and rows: a line of LEAST words is one by itself; shorter
+    lines beside each other are joined until they hold as many. What is left over goes to the paragraph before, in a
+    row's beginning to the one behind; if that is all of a row, it's a paragraph. Every word is in one."""
+    out: list[tuple[int, int]] = []
+    own, first, held = -1, -1, 0  # row, first line and words of the short lines at hand
+    for i, (words_, r) in enumerate(zip(n.tolist(), row.tolist(), strict=True)):
+        if not words_:
+            continue
+        if r != own:
+            if held:
+                _leave(out, own, first, last, row)
+            own, first, held = r, -1, 0
+        if words_ >= LEAST and held and out and row[out[-1][1]] == r:
+            out[-1] = (out[-1][0], last)
+            first, held = -1, 0
+        first, held, last = (first if held else i), held + words_, i
+        if held >= LEAST:
+            out.append((first, i))
+            first, held = -1, 0
+    if held:
+        _leave(out, own, first, last, row)
+    return out
+
+
+def _leave(out: list, own: int, first: int, last: int, row: np.ndarray) -> None:
+    if out and row[out[-1][1]] == own:
+        out[-1] = (out[-1][0], last)
+    else:
+        out.append((first, last))
 
 
 def units(data: np.ndarray, offs: np.ndarray, want_bands: bool = True):
-    """Lines and pieces: (row, first byte, end byte, words, key, is a line), and for the lines their bands."""
+    """Paragraphs: (row, first byte, end byte, words, key), their bands, and their sets."""
     at = line_offsets(data, offs)
     h, ranges, starts, ends = words(data, at)
-    n = np.diff(ranges)
-    rows_of = lambda byte: np.searchsorted(offs, byte, "right") - 1
-    line = np.flatnonzero(n >= MIN_LINE)
-    first, last = ranges[:-1][line], ranges[1:][line] - 1
-    b_line, e_line = starts[first], ends[last]
-    key_line = digests(h, ranges)[line]
-    # pieces of long lines
-    long_word = np.repeat(n > CUT_LINE, n)
-    cuts = np.union1d(ranges, cut_places(h, np.searchsorted(starts, offs))) if len(h) else ranges
-    cuts = np.unique(cuts)
-    size = np.diff(cuts)
-    piece = np.flatnonzero((size >= MIN_PIECE) & long_word[np.minimum(cuts[:-1], max(0, len(h) - 1))]) if len(h) else np.zeros(0, int)
-    p_first, p_last = cuts[:-1][piece], cuts[1:][piece] - 1
-    key_piece = digests(h, cuts)[piece] if len(h) else np.zeros(0, U)
-    begin = np.concatenate([b_line, starts[p_first]])
-    end = np.concatenate([e_line, ends[p_last]])
-    facts = (rows_of(begin), begin, end, np.concatenate([n[line], size[piece]]), np.concatenate([key_line, key_piece]), np.arange(len(begin)) < len(line))
-    e, own = sets_of(h, ranges, line)
-    return facts, (bands(min_hashes(e, own, BANDS * ROWS), ROWS) if want_bands and len(line) else np.zeros((0, BANDS), U)), e, own
-
-
-def sets_of(h, ranges, line):
-    """Shingles, told apart by occurrence, of the chosen lines only."""
-    n = np.diff(ranges)[line]
-    own = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(own[-1]) - np.repeat(own[:-1], n) + np.repeat(ranges[:-1][line], n)
-    s, out = shingles(h[at], own, SHINGLE)
-    return occurrences(s, out), out
+    line_row = np.searchsorted(offs, at[:-1], "right") - 1
+    lines = np.array(paragraph_lines(np.diff(ranges), line_row), np.int64).reshape(-1, 2)
+    # words of a paragraph stand side by side
+    first, last = ranges[:-1][lines[:, 0]], ranges[1:][lines[:, 1]]
+    own = np.append(first, len(h))
+    facts = (line_row[lines[:, 0]], starts[first], ends[last - 1], last - first, digests(h, own))
+    s, out = shingles(h, own, SHINGLE)
+    e = occurrences(s, out)
+    return facts, (bands(min_hashes(e, out, BANDS * ROWS), ROWS) if want_bands and len(lines) else np.zeros((0, BANDS), U)), e, out
 
 
 def _units(batches):
     for batch in batches:
         for lo, hi, data, offs in slices(batch.column("text")):
-            (row, begin, end, n, key, line), b, _, _ = units(data, offs)
+            (row, begin, end, n, key), b, _, _ = units(data, offs)
             ids, texts = (batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("doc_id", "text_hash"))
-            turns = np.concatenate([np.arange(len(b) + 1) * BANDS, np.full(len(row) - len(b), len(b) * BANDS)])
             base = offs[row]
-            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(line), lists(signed(b.ravel()), turns)], ["doc_id", "text_hash", "begin", "end", "n", "key", "line", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), lists(signed(b.ravel()), np.arange(len(b) + 1) * BANDS)], ["doc_id", "text_hash", "begin", "end", "n", "key", "bands"])
 
 
-def _line_sets(batches):
+def _paragraph_sets(batches):
     for batch in batches:
         for _, _, data, offs in slices(batch.column("text")):
-            (_, _, _, _, key, line), _, e, own = units(data, offs, want_bands=False)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key[line])), lists((e >> U(32)).astype(np.uint32).view(np.int32), own)], ["key", "items"])
+            (_, _, _, _, key), _, e, own = units(data, offs, want_bands=False)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), lists((e >> U(32)).astype(np.uint32).view(np.int32), own)], ["key", "items"])
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Occurrences of passages that more than one document holds: doc_id, begin, end (bytes of the UTF-8 text), n_words,
-    passage (id of the component), first_doc, text_hash (xxhash64 of the text, telling rows of one id apart), removed.
-
-    Occurrences in the document of the smallest id (first_doc) are not removed, all others are. Rows of one doc_id are
-    one document; rows of null id count together as one document after all others. Null and empty texts hold no
-    passages. Lines of at least MIN_LINE words are compared whole; besides, every run of at least common_runs.RUN words
-    that documents share is reported, wherever lines break. An empty table gives no rows.
+    passage (id of the component), first_doc, text_hash (xxhash64 of the text, telling rows of one id apart), removed,
+    kind.
+
+    Occurrences in the document of the smallest id (first_doc) are not removed, all others are. kind is ``wording`` for
+    paragraphs that stand in another document word for word, ``linked`` for those in a component of several wordings,
+    ``run`` for runs of words inside or across paragraphs (common_runs). Rows of one doc_id are one document; rows of
+    null id count together as one document after all others. Null and empty texts hold no passages. Repeated rows are
+    reported each. An empty table gives no rows.
     """
     ship(docs.sparkSession)
+    with scratch() as keep:
+        return keep(staged(_repeats(docs, similarity, doc_id, text), "repeats"))
+
+
+def _repeats(docs: DataFrame, similarity: float, doc_id: str, text: str) -> DataFrame:
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     plain = plain.withColumn("text_hash", F.xxhash64("text"))
-    found = staged(plain.mapInArrow(_units, "doc_id long, text_hash long, begin int, end int, n int, key long, line boolean, bands array<long>"), "units")
-    # paragraphs, one for each wording
-    reps = found.where("line").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    found = staged(plain.mapInArrow(_units, "doc_id long, text_hash long, begin int, end int, n int, key long, bands array<long>"), "units")
+    # one row for each wording
+    reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("times"))
     reps = staged(reps, "paragraphs")
     rows = reps.select("key", "n", F.explode("bands").alias("bucket"))
     sizes, heavy = shared_buckets(rows)
@@ -133,21 +134,22 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
         small = small_enough(ids, BROADCAST_IDS)
         side = lambda c: F.broadcast(ids.select(c).distinct()) if small else ids.select(c).distinct()
         texts = plain.join(side("doc_id"), "doc_id", "left_semi").select("text")
-        sets = texts.mapInArrow(_line_sets, "key long, items array<int>").join(side("key"), "key", "left_semi")
+        sets = texts.mapInArrow(_paragraph_sets, "key long, items array<int>").join(side("key"), "key", "left_semi")
         return staged(sets.dropDuplicates(["key"]), "sets")
 
     _, roots = linked(rows, heavy, load_sets, similarity)
     # wordings that more than one document holds, alone or through a component
-    held = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    held = held.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("passage", F.coalesce("root", "key"))
-    alone = held.where("root IS NULL AND low < high").select("key", "passage", F.col("low").alias("first_doc"))
-    joined = held.where("root IS NOT NULL").select("key", "passage", "low", "high")
-    spans = joined.groupBy("passage").agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
-    chosen = alone.unionAll(joined.join(spans, "passage").select("key", "passage", "first_doc"))
-    out = found.select("doc_id", "text_hash", "begin", "end", "n", "key").join(staged(chosen, "passages"), "key").drop("key")
-    out = out.unionByName(common_runs(plain, similarity))
+    held = reps.select("key", F.col("doc_id").alias("low"), "high", "times").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    alone = held.where("root IS NULL AND low < high").selectExpr("key", "key AS passage", "low AS first_doc", "'wording' AS kind", "times")
+    several = held.where("root IS NOT NULL")
+    spans = several.groupBy(F.col("root").alias("passage")).agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
+    chosen = alone.unionByName(several.withColumnRenamed("root", "passage").join(spans, "passage").selectExpr("key", "passage", "first_doc", "'linked' AS kind", "times"))
+    chosen = staged(chosen, "passages")
+    common = chosen.where(F.col("times") > (chosen.agg(F.sum("times")).first()[0] or 0) / HEAVY).select("key")
+    out = meet(found.select("doc_id", "text_hash", "begin", "end", "n", "key"), chosen.drop("times"), common, "key", "text_hash").drop("key")
+    out = out.unionByName(common_runs(plain, similarity).withColumn("kind", F.lit("run")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), "text_hash", (F.col("doc_id") != F.col("first_doc")).alias("removed"))
+    return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), "text_hash", (F.col("doc_id") != F.col("first_doc")).alias("removed"), "kind")
 
 
 def _cut_out(batches):
@@ -163,19 +165,21 @@ def _cut_out(batches):
                     at = max(at, s["end"])
                 text = b"".join([*kept, text[at:]])
             made.append(text)
-        out = pa.array(made, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([out if c == "text" else batch.column(c) for c in batch.schema.names if c != "spans"], [c for c in batch.schema.names if c != "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.binary()).cast(pa.string())], ["row", "text"])
 
 
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text and any columns) without the removed passages; every row stays, n_chars (if there) is
-    counted anew. Repeated rows lose the same passages; rows of one id but other texts, null ids too, each their own."""
+    counted anew. Repeated rows lose the same passages; rows of one id but other texts, null ids too, each their own.
+    Null texts stay null. Columns of any names are passed through; an empty table gives no rows."""
     ship(docs.sparkSession)
-    gone = repeats(docs, similarity).where("removed").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
-    rows = docs.join(gone, own, "left").drop("__id", "__hash")
-    out = rows.mapInArrow(_cut_out, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    gone = repeats(docs, similarity).where("removed").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(row, docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("hash"), docs["text"].cast("string").alias("text"))
+    met = rows.join(gone, rows["id"].eqNullSafe(gone["doc_id"]) & (rows["hash"] == gone["text_hash"]), "left").select("row", "text", "spans")
+    cut = met.mapInArrow(_cut_out, T.StructType([met.schema["row"], met.schema["text"]]))
+    put = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*[(put[c] if c in put else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
