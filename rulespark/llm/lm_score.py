@@ -1,13 +1,16 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = (1 - u) * P(class | history) * count(word) / count(class) for words of the training texts; u, the
-Good-Turing mass, goes to all others as one event. The class comes from a softmax over hashed features of the history:
-the word before (n-gram), the one two before (skip), the pair of their classes and the class three before (skip). The
-commonest words are classes of their own; all others share classes by clusters of their last two bytes, clustered by
-the neighbours they are seen with.
-
-Counts cover all training texts. Each partition runs AdaGrad over its tokens; weights are averaged by tokens. A bounded
-table of the commonest words is broadcast; tokens of all other words meet the full count table in a join.
+P(word | history) = (1 - u) * P(class | history) * P(cell | class, history) * count(word) / count(cell) for words of the
+training texts; u, the Good-Turing mass, goes to all others as one event. Both factors are softmaxes over weights of
+hashed features of the history: the word before and the two words before (n-grams), the word two and three before (skips);
+for cells, the word before and the one two before, each with the class. Classes are clusters of words by their endings
+and neighbours; the commonest words of a class are cells of their own, the others share cells by their endings.
+
+Counts cover all training texts. Weights start from counts of features with classes and cells over all training tokens.
+Then come ROUNDS steps of gradient descent: each sums the gradients of a share of the documents over all tasks, and all
+tasks go on from the same new weights, so the model doesn't depend on how the documents are dealt out. The tables have a row
+for each TOKENS_A_ROW training tokens. A bounded table of the commonest words is broadcast; tokens of all other words
+meet the full count table in a join.
 """
 
 from __future__ import annotations
@@ -17,21 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import fold, ship, shuffle_width, staged, table
+from .runtime import fold, scratch, ship, staged, table
 from .wordhash import SOLID, U, _C, lists, mix, signed, slices, words
 
 HEAD = 1 << 18  # commonest words that every worker knows
-SINGLES, CLASSES = 24, 64  # words that are classes of their own, and classes in all
-NEAR = 4096  # commonest words that are history features of their own; the rest by their last two bytes
+CLASSES, CELLS, SHARED = 32, 32, 8  # classes, cells of each, and how many of these are shared
 SUFFIX_BITS = 10
-BATCH = 8192
-RATE = 0.15
+TOKENS_A_ROW, MIN_ROWS, MAX_ROWS = 2048, 1 << 10, 1 << 18  # rows of each table, a power of 2: 34 MB at most
+TASK_TOKENS = 8_000_000  # of a training task, at least, if there are enough tasks
+ROUNDS = 3
+RATE, CLIP, LIMIT = 0.5, 0.5, 10.0  # of a step; of a weight
+PRIOR = 20.0  # tokens that the prior of a row counts for
+START = (0.6, 0.3, 0.3, 0.2), (0.6, 0.3)  # weight of each feature's counts at the start: of classes, of cells
+BATCH = 2048  # tokens whose sums fit a core's cache
 FLUSH = 1_000_000  # distinct words that a counting task holds
 END = np.array([0x5851F42D4C957F2D], U)  # hash of the token that ends a text
-BEFORE = NEAR + (1 << SUFFIX_BITS)  # feature of the place before a text
-OFFSETS = np.array([0, BEFORE + 1, 2 * (BEFORE + 1), 2 * (BEFORE + 1) + (CLASSES + 1) ** 2])
-ROWS = int(OFFSETS[3]) + CLASSES + 1
-BLOCKS = 16
 
 
 def tokens(data: np.ndarray, offs: np.ndarray):
@@ -110,75 +113,185 @@ def suffix_classes(pairs: np.ndarray, classes: int, rounds: int = 15) -> np.ndar
 
 
 class Model:
-    """What workers need: the head words (sorted hashes, counts, ranks), classes of suffix slots, and weights."""
-
-    def __init__(self, head_h, head_c, slot_class, class_total, n, v, unseen):
-        order = np.argsort(head_h)
-        self.keys, self.counts, self.ranks = head_h[order], head_c[order], order.astype(np.int32)
-        self.slot_class, self.log_total = slot_class.astype(np.int32), np.log10(np.maximum(class_total, 1))
+    """What workers need: the head words (sorted hashes, counts, cells), classes of suffix slots, and weights. A place is
+    class * CELLS + cell."""
+
+    def __init__(self, head_h, head_c, head_sfx, slot_class, by_slot, n, v, unseen):
+        order = np.argsort(head_h, kind="stable")
+        self.keys, self.counts = head_h[order], head_c[order]
+        slot = np.arange(len(slot_class))
+        # words without a cell of their own share one by their endings
+        self.slot_place = slot_class * CELLS + CELLS - 1 - (mix(slot.astype(U) + _C[3]) >> U(40)).astype(np.int64) % SHARED
+        total = np.bincount(self.slot_place, weights=by_slot, minlength=CLASSES * CELLS)
+        place = self.slot_place[head_sfx]
+        cls = place // CELLS
+        rank = np.empty(len(cls), np.int64)  # in its class, the commonest first
+        by = np.lexsort((head_h, -head_c, cls))
+        rank[by] = np.arange(len(by)) - np.searchsorted(cls[by], cls[by])
+        own = rank < CELLS - SHARED
+        np.subtract.at(total, place[own], head_c[own])
+        place[own] = cls[own] * CELLS + rank[own]
+        np.add.at(total, place[own], head_c[own])
+        self.places = place[order]
         self.n, self.v, self.unseen = n, v, unseen
-        self.bias = np.log((class_total + 1) / (class_total + 1).sum()).astype(np.float32)
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+        total = np.maximum(total, 0).reshape(CLASSES, CELLS)
+        self.log_total = np.log10(np.maximum(total, 1)).ravel()
+        whole = total.sum(1)
+        self.p_class = (whole + 1e-6) / (whole + 1e-6).sum()
+        self.p_cell = (total + 1e-9) / (total + 1e-9).sum(1, keepdims=True)
+        self.bias = np.log(self.p_class).astype(np.float32), np.log(self.p_cell).astype(np.float32)
+        self.rows = int(min(MAX_ROWS, max(MIN_ROWS, 1 << int(max(1, n // TOKENS_A_ROW)).bit_length())))
+        self.weights = np.zeros((self.rows, CLASSES), np.float32), np.zeros((self.rows, CELLS), np.float32)
 
     def describe(self, h: np.ndarray, sfx: np.ndarray):
-        """Class, history feature and count (0: not a head word) of tokens."""
+        """Place and count (0: not a head word) of tokens."""
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         known = self.keys[at] == h
-        rank = np.where(known, self.ranks[at], HEAD)
-        return np.where(rank < SINGLES, rank, self.slot_class[sfx]), np.where(rank < NEAR, rank, NEAR + sfx), np.where(known, self.counts[at], 0)
+        return np.where(known, self.places[at], self.slot_place[sfx]), np.where(known, self.counts[at], 0)
+
+    def slots(self, h: np.ndarray, place: np.ndarray, ranges: np.ndarray) -> tuple[list, list]:
+        """Rows of the weights that each token's history switches on: for its class, for its cell. Each feature has its
+        own part of a table."""
+        one, two, three = (before(h, ranges, k, 0) for k in (1, 2, 3))
+        cls = (place // CELLS).astype(U)
+        of_class = [one, mix(one + two * _C[1]), two + _C[2], three + _C[3]]
+        of_cell = [mix(one + _C[4]) + cls, mix(two + _C[5]) + cls]
+        part = lambda xs: [((mix(x) >> U(32)) % U(self.rows // len(xs))).astype(np.int32) + k * (self.rows // len(xs)) for k, x in enumerate(xs)]
+        return part(of_class), part(of_cell)
+
+    def factor(self, which: int, slots: list, place: np.ndarray, spread: np.ndarray | None = None) -> np.ndarray:
+        """Log-probability of each token's class (0) or of its cell in the class (1). ``spread`` (values x tokens), if
+        given, takes the probabilities of all classes or cells."""
+        w, out, ones = self.weights[which], np.empty(len(place)), np.ones(self.weights[which].shape[1], np.float32)
+        target = place % CELLS if which else place // CELLS
+        for lo in range(0, len(place), BATCH):
+            cut = slice(lo, lo + BATCH)
+            z = w.take(slots[0][cut], axis=0)
+            for s in slots[1:]:
+                z += w.take(s[cut], axis=0)
+            z += self.bias[1].take(place[cut] // CELLS, axis=0) if which else self.bias[0]
+            out[cut] = z[np.arange(len(z)), target[cut]]
+            np.exp(z, out=z)  # weights are clipped: no overflow
+            total = z @ ones
+            out[cut] -= np.log(total)
+            if spread is not None:
+                z *= (1 / total)[:, None]
+                spread[:, cut] = z.T
+        return out
+
+    def start(self, counts: tuple[np.ndarray, np.ndarray]) -> None:
+        """Weights from counts of rows with classes and cells: log-ratios to the prior, shrunk."""
+        self.seen = counts
+        prior = self.p_class[None, :], self._cell_prior(counts[1])
+        for w, c, p, scale in zip(self.weights, counts, prior, START, strict=True):
+            n = c.sum(1, keepdims=True)
+            feature = np.repeat(scale, self.rows // len(scale))[:, None]
+            w[:] = np.clip(feature * np.log((c + PRIOR * p) / ((n + PRIOR) * p)), -LIMIT, LIMIT)
+
+    def _cell_prior(self, counts: np.ndarray) -> np.ndarray:
+        """A row of cells is of several classes at times, by collision: its prior is the mean over all."""
+        mean = self.p_class @ self.p_cell
+        return np.maximum(mean, 1e-6)[None, :]
+
+    def step(self, gradients: tuple[np.ndarray, np.ndarray], share: float) -> None:
+        """One step along the gradients of a share of the tokens, scaled by the curvature that the counts tell."""
+        for w, g, c in zip(self.weights, gradients, self.seen, strict=True):
+            n = c.sum(1, keepdims=True)
+            curve = share * (c + PRIOR * (c.sum(0) + 1) / (c.sum() + c.shape[1])) * n / (n + PRIOR) + 2
+            w += (RATE * np.clip(g / curve, -CLIP, CLIP)).astype(np.float32)
+            np.clip(w, -LIMIT, LIMIT, out=w)
+
+
+def summed(parts: DataFrame, rows: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """Sums of both tables' rows over all tasks, and of the tokens seen."""
+    blocks = parts.repartition("block").mapInArrow(_add, "tab int, row int, seen long, vals binary").toArrow()
+    out, seen = (np.zeros((rows, CLASSES), np.float32), np.zeros((rows, CELLS), np.float32)), 0
+    for tab, row, n, vals in zip(*(blocks.column(c) for c in ("tab", "row", "seen", "vals")), strict=True):
+        if tab.as_py() < 0:
+            seen += n.as_py()
+        else:
+            out[tab.as_py()][row.as_py()] = np.frombuffer(vals.as_buffer(), np.float32)
+    return out, seen
+
+
+def _emitted(tables, seen: int):
+    """The rows of both tables that aren't zero, a batch for every few thousand; and a row of the tokens seen."""
+    names = ["block", "tab", "row", "seen", "vals"]
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([b""], pa.binary())], names)
+    for tab, x in enumerate(tables):
+        rows = np.flatnonzero(x.any(1))
+        for lo in range(0, len(rows), 8192):
+            own = rows[lo : lo + 8192]
+            width = 4 * x.shape[1]
+            vals = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(0, (len(own) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x[own], np.float32))])
+            yield pa.RecordBatch.from_arrays([pa.array((own >> 6).astype(np.int32)), pa.array(np.full(len(own), tab, np.int32)), pa.array(own.astype(np.int32)), pa.array(np.zeros(len(own), np.int64)), vals], names)
+
+
+def _add(batches):
+    """Sums of rows over tasks: rows of one block of 64 meet in one task."""
+    index: dict[tuple[int, int], int] = {}
+    sums, seen = np.zeros((0, CLASSES)), 0
+    for batch in batches:
+        tab, row = batch.column("tab").to_numpy(), batch.column("row").to_numpy()
+        seen += int(batch.column("seen").to_numpy().sum())
+        real = np.flatnonzero(tab >= 0)
+        if not len(real):
+            continue
+        vals = np.frombuffer(b"".join(batch.column("vals").take(pa.array(real)).to_pylist()), np.float32).reshape(len(real), CLASSES)
+        at = np.array([index.setdefault(k, len(index)) for k in zip(tab[real].tolist(), row[real].tolist(), strict=True)])
+        if len(index) > len(sums):
+            sums = np.concatenate([sums, np.zeros((2 * len(index) - len(sums), CLASSES))])
+        np.add.at(sums, at, vals)
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([b""], pa.binary())], ["tab", "row", "seen", "vals"])
+    if index:
+        keys = list(index)
+        data = [x.tobytes() for x in sums[: len(index)].astype(np.float32)]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([0] * len(keys), pa.int64()), pa.array(data, pa.binary())], ["tab", "row", "seen", "vals"])
+
+
+def _start_counts(shared):
+    """Counts of rows with the classes and cells of their tokens."""
+
+    def count(batches):
+        model = shared.value
+        sums, seen = [np.zeros(model.rows * k, np.int64) for k in (CLASSES, CELLS)], 0
+        for batch in batches:
+            for _, _, data, offs in slices(batch.column("text")):
+                h, sfx, ranges = tokens(data, offs)
+                place, _ = model.describe(h, sfx)
+                seen += len(h)
+                for x, slots, target, width in zip(sums, model.slots(h, place, ranges), (place // CELLS, place % CELLS), (CLASSES, CELLS), strict=True):
+                    x += np.bincount(np.concatenate([s * np.int64(width) + target for s in slots]), minlength=len(x))
+        yield from _emitted([x.reshape(model.rows, -1) for x in sums], seen)
 
-    def slots(self, cls: np.ndarray, feature: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-        """(4, tokens) rows of the weights that each token's history switches on."""
-        c1, c2 = before(cls, ranges, 1, CLASSES), before(cls, ranges, 2, CLASSES)
-        return np.stack([before(feature, ranges, 1, BEFORE), before(feature, ranges, 2, BEFORE), c1 * (CLASSES + 1) + c2, before(cls, ranges, 3, CLASSES)]) + OFFSETS[:, None]
+    return count
 
-    def log_class(self, slots: np.ndarray, w: np.ndarray) -> np.ndarray:
-        z = w[slots[0]]
-        for s in slots[1:]:
-            z += w[s]
-        z += self.bias
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
 
+def _gradients(shared):
+    """Sums over tokens of (target - probability) for each row that their histories switch on."""
 
-def _train(shared):
     def train(batches):
         model = shared.value
-        w, square, seen = model.weights.copy(), np.full(ROWS, 1e-6, np.float32), 0
+        sums, seen = [np.zeros(w.shape[::-1]) for w in model.weights], 0
         for batch in batches:
-            for _, _, data, offs in slices(batch.column("text")):
+            for _, _, data, offs in slices(batch.column("text"), 1 << 20):
                 h, sfx, ranges = tokens(data, offs)
-                cls, feature, _ = model.describe(h, sfx)
-                slots = model.slots(cls, feature, ranges)
+                place, _ = model.describe(h, sfx)
                 seen += len(h)
-                for lo in range(0, len(h), BATCH):
-                    own, target = slots[:, lo : lo + BATCH], cls[lo : lo + BATCH]
-                    g = -np.exp(model.log_class(own, w))
-                    g[np.arange(len(target)), target] += 1
-                    for s in own:
-                        order = np.argsort(s, kind="stable")
-                        rows, first = np.unique(s[order], return_index=True)
-                        step = np.add.reduceat(g[order], first, axis=0) / np.sqrt(np.diff(np.append(first, len(s))))[:, None]
-                        square[rows] += (step * step).mean(1)
-                        w[rows] += RATE * step / np.sqrt(square[rows])[:, None]
-        for k, part in enumerate(np.array_split(w, BLOCKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["block", "seen", "part"])
+                spread = np.empty((CLASSES, len(h)))
+                for which, (x, slots) in enumerate(zip(sums, model.slots(h, place, ranges), strict=True)):
+                    model.factor(which, slots, place, spread)
+                    target = place % CELLS if which else place // CELLS
+                    for s in slots:
+                        x += np.bincount(s + target * np.int64(model.rows), minlength=x.size).reshape(x.shape)
+                        for k, own in enumerate(spread):
+                            x[k] -= np.bincount(s, weights=own, minlength=model.rows)
+        yield from _emitted([x.T for x in sums], seen)
 
     return train
 
 
-def _average(batches):
-    """Sum of weights times tokens of each block, one batch after another."""
-    held: dict = {}
-    for batch in batches:
-        for k, seen, part in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "part")), strict=True):
-            x, n = held.get(k, (0.0, 0))
-            held[k] = (x + np.frombuffer(part, np.float32).astype(np.float64) * seen, n + seen)
-    for k, (x, n) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([(x / max(1, n)).astype(np.float32).tobytes()], pa.binary())], ["block", "seen", "part"])
-
-
 def _score(shared):
     def score(batches):
         from pyspark import TaskContext
@@ -189,13 +302,10 @@ def _score(shared):
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
                 h, sfx, ranges = tokens(data, offs)
-                cls, feature, c = model.describe(h, sfx)
-                slots = model.slots(cls, feature, ranges)
-                part = np.empty(len(h))
-                for a in range(0, len(h), BATCH):
-                    z = model.log_class(slots[:, a : a + BATCH], model.weights)
-                    part[a : a + BATCH] = z[np.arange(len(z)), cls[a : a + BATCH]] / np.log(10)
-                part += np.log10(1 - model.unseen) - model.log_total[cls]
+                place, c = model.describe(h, sfx)
+                of_class, of_cell = model.slots(h, place, ranges)
+                part = (model.factor(0, of_class, place) + model.factor(1, of_cell, place)) / np.log(10)
+                part += np.log10(1 - model.unseen) - model.log_total[place]
                 head = c > 0
                 whole = np.where(head, part + np.log10(np.maximum(c, 1)), 0)
                 per = lambda x: np.add.reduceat(x, ranges[:-1])  # noqa: B023, E731
@@ -223,21 +333,29 @@ def fit(docs: DataFrame) -> tuple[Model | None, DataFrame]:
     pairs = counts.where("kind = 1").select("key", "c").toArrow()  # size * size rows at most
     matrix = np.zeros(size * size)
     matrix[pairs.column("key").to_numpy()] = pairs.column("c").to_numpy()
-    slot_class = SINGLES + suffix_classes(matrix.reshape(size, size), CLASSES - SINGLES)
+    slot_class = suffix_classes(matrix.reshape(size, size), CLASSES)
     by_slot = np.zeros(size)
     for r in vocabulary.groupBy("sfx").agg(F.sum("c").alias("c")).collect():  # size rows at most
         by_slot[r["sfx"]] = r["c"]
     key, c, sfx = (head.column(x).to_numpy() for x in ("key", "c", "sfx"))
-    np.subtract.at(by_slot, sfx[:SINGLES], c[:SINGLES])
-    total = np.bincount(slot_class, weights=by_slot, minlength=CLASSES)
-    total[: len(c[:SINGLES])] = c[:SINGLES]
     unseen = float(np.clip(stats["once"] / stats["n"], 1 / (stats["n"] + 1), 0.5))
-    model = Model(key.view(U), c, slot_class, total, stats["n"], stats["v"], unseen)
-    shared = spark.sparkContext.broadcast(model)
-    parts = docs.mapInArrow(_train(shared), "block int, seen long, part binary")
-    parts = parts.repartition(min(BLOCKS, shuffle_width(spark)), "block").mapInArrow(_average, "block int, seen long, part binary")
-    blocks = {r["block"]: np.frombuffer(r["part"], np.float32) for r in parts.collect()}  # the weights: bounded by ROWS
-    model.weights = np.concatenate([blocks[k] for k in range(BLOCKS)]).reshape(ROWS, CLASSES).copy()
+    model = Model(key.view(U), c, sfx, slot_class, by_slot, stats["n"], stats["v"], unseen)
+    # fewer, larger tasks: each sends whole tables
+    tasks = max(spark.sparkContext.defaultParallelism, -(-stats["n"] // TASK_TOKENS))
+
+    def over(rows: DataFrame, work) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+        shared = spark.sparkContext.broadcast(model)
+        try:
+            return summed(rows.coalesce(tasks).mapInArrow(work(shared), "block int, tab int, row int, seen long, vals binary"), model.rows)
+        finally:
+            shared.destroy()
+
+    model.start(over(docs, _start_counts)[0])
+    for turn in range(ROUNDS):
+        gradients, seen = over(docs.where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(ROUNDS)) == turn), _gradients)
+        if seen:
+            model.step(gradients, seen / model.n)
+    model.seen = None
     return model, vocabulary
 
 
@@ -248,16 +366,22 @@ def score_texts(docs: DataFrame, learn=None) -> DataFrame:
     A null text counts as empty: one token, the end. Repeated rows are scored each and learned from each. If no row
     teaches, every token is unknown and both scores are 0. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
+    with scratch() as keep:
+        return keep(staged(_score_texts(docs, learn), "lm_scores"))
+
+
+def _score_texts(docs: DataFrame, learn) -> DataFrame:
     spark = docs.sparkSession
-    ship(spark)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model, vocabulary = fit(rows.where(fold("doc_id", 5) != 1 if learn is None else learn).select("text"))
     if model is None:
-        model = Model(np.zeros(1, U), np.zeros(1, np.int64), np.full(1 << SUFFIX_BITS, SINGLES), np.zeros(CLASSES), 0, 0, 1.0)
-        model.unseen = 1 - 1e-12
+        none = np.zeros(1, np.int64)
+        model = Model(np.zeros(1, U), none, none, np.zeros(1 << SUFFIX_BITS, np.int64), np.zeros(1 << SUFFIX_BITS), 0, 0, 1 - 1e-12)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = staged(rows.mapInArrow(_score(shared), f"doc_id {kind}, row long, n_tokens long, n_known long, base_score double, score double, tail array<struct<key: bigint, part: double>>"), "scored")
+    shared.destroy()
     # words beyond the head: counted per text first, then met with the full table
     tail = scored.select("row", F.explode("tail").alias("t")).groupBy("row", F.col("t.key").alias("key")).agg(F.count("*").alias("times"), F.sum("t.part").alias("part"))
     met = tail.join(vocabulary.select("key", "c"), "key", "left")
