@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import small_enough, staged, table
+from .near_dup import hot, meet
+from .runtime import scratch, small_enough, staged, table
 
 WINDOW = 10
 GRAM = 7
@@ -78,8 +79,14 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     positions of hit words), and key (``text_key``).
 
     Null texts have no words. A null item id takes part in hits but is not counted as an item. Rows that repeat are
-    judged one by one; rows of one doc_id with different texts too. No items, or none with words: nothing is hit.
+    judged one by one; rows of one doc_id with different texts too. No items, or none with words: nothing is hit. An
+    empty table gives no rows.
     """
+    with scratch() as keep:
+        return keep(staged(_contamination(docs, bench, doc_id, text, item_id, item_text), "contamination"))
+
+
+def _contamination(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     wins = staged(item_windows(bench, item_id, item_text), "windows")
     shorts = sorted(r["n"] for r in wins.where(F.col("n") < WINDOW).select("n").distinct().collect())  # WINDOW - 1 numbers at most
@@ -104,8 +111,12 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     met = runs.join(wide, ["win", "n"])
     spots = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(at, at + n - 1)")))).alias("keep_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     judged = staged(spots, "spots")
-    judged = F.broadcast(judged) if small_enough(judged, BROADCAST_HITS // 20) else judged
-    out = base.select("doc_id", "key", "n_words").join(judged, "key", "left")
+    out = base.select("doc_id", "key", "n_words")
+    if small_enough(judged, BROADCAST_HITS // 20):
+        out = out.join(F.broadcast(judged), "key", "left")
+    else:
+        # rows of a common text are spread over tasks
+        out = meet(out.withColumn("turn", F.monotonically_increasing_id()), judged, hot(base, "key"), "key", "turn", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", F.coalesce(F.size("keep_at"), F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.coalesce(F.size("keep_at") > 0, F.lit(False)).alias("contaminated"), "keep_at", "key")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -56,7 +57,8 @@ def dropped(df: DataFrame) -> None:
 
 @contextlib.contextmanager
 def scratch() -> Iterator:
-    """Tables staged inside are deleted at the end, but for those given to what this yields."""
+    """Tables staged inside are deleted at the end, but for those given to what this yields. Shuffle files of the steps
+    inside go too: Spark deletes them once the driver has collected the plans that made them."""
     own: list[DataFrame] = []
     _scratch.append(own)
     kept: list[DataFrame] = []
@@ -75,6 +77,9 @@ def scratch() -> Iterator:
                 dropped(df)
             elif _scratch:
                 _scratch[-1].append(df)
+        if own:
+            gc.collect()
+            own[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
