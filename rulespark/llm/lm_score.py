@@ -27,7 +27,7 @@ HEAD = 1 << 18  # commonest words that every worker knows
 CLASSES, CELLS, SHARED = 32, 32, 8  # classes, cells of each, and how many of these are shared
 SUFFIX_BITS = 10
 TOKENS_A_ROW, MIN_ROWS, MAX_ROWS = 2048, 1 << 10, 1 << 18  # rows of each table, a power of 2: 34 MB at most
-TASK_TOKENS = 8_000_000  # of a training task, at least, if there are enough tasks
+ROW_TOKENS = 256  # tokens that a training task reads for each row of the tables it sends, at least
 ROUNDS = 3
 RATE, CLIP, LIMIT = 0.5, 0.5, 10.0  # of a step; of a weight
 PRIOR = 20.0  # tokens that the prior of a row counts for
@@ -341,7 +341,7 @@ def fit(docs: DataFrame) -> tuple[Model | None, DataFrame]:
     unseen = float(np.clip(stats["once"] / stats["n"], 1 / (stats["n"] + 1), 0.5))
     model = Model(key.view(U), c, sfx, slot_class, by_slot, stats["n"], stats["v"], unseen)
     # fewer, larger tasks: each sends whole tables
-    tasks = max(spark.sparkContext.defaultParallelism, -(-stats["n"] // TASK_TOKENS))
+    tasks = max(1, stats["n"] // (ROW_TOKENS * model.rows))
 
     def over(rows: DataFrame, work) -> tuple[tuple[np.ndarray, np.ndarray], int]:
         shared = spark.sparkContext.broadcast(model)
