@@ -237,7 +237,7 @@ def judge(model: dict, col) -> tuple[list, np.ndarray, list, np.ndarray]:
     langs: list = [None] * len(col)
     scores, lettered = np.zeros(len(col)), np.zeros(len(col), bool)
     spans: list = [[] for _ in range(len(col))]
-    for lo, hi, data, offs in slices(col, max(1 << 16, (1 << 23) // max(4, L))):
+    for lo, hi, data, offs in slices(col, max(1 << 15, (1 << 21) // max(4, L))):
         score, ranges, n, has_letter = word_scores(model, data, offs)
         path = viterbi(score, ranges)
         row = np.repeat(np.arange(hi - lo), np.diff(ranges))

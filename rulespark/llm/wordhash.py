@@ -51,7 +51,7 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def slices(col, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(col, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``max_bytes``; a longer text comes alone, whole.
     Null counts as empty."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
