@@ -7,6 +7,7 @@ a run, which is then extended word by word. No pairs of documents are made, and
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import partial
 
 import numpy as np
@@ -150,16 +151,41 @@ def few(batches):
             yield batch.slice(lo, ROWS)
 
 
+def uncovered(runs: list) -> list:
+    """Those of runs (at, begin, end, n, f_doc, ...), in the order of first documents and then length, that no run to an
+    earlier document covers: seeds at a run's edges may be told by later holders."""
+    out, group, starts, ends = [], [], [], []  # starts, ends: stretches of earlier documents, none inside another
+    for run in sorted(runs, key=lambda r: (r[4], -r[3], r[0])):
+        if group and group[-1][4] != run[4]:
+            for at, end in ((r[0], r[0] + r[3]) for r in group):
+                lo = hi = bisect_left(starts, at)
+                if not lo or ends[lo - 1] < end:
+                    while hi < len(ends) and ends[hi] <= end:
+                        hi += 1
+                    if lo == len(starts) or starts[lo] != at or hi > lo:
+                        starts[lo:hi], ends[lo:hi] = [at], [end]
+            group = []
+        k = bisect_right(starts, run[0]) - 1
+        if k < 0 or ends[k] < run[0] + run[3]:
+            out.append(run)
+            group.append(run)
+    return sorted(out, key=lambda r: (r[0], -r[3], r[5]))
+
+
+RUN_NAMES = ["home", "text_hash", "at", "begin", "end", "n", "f_doc", "f_text", "f_at", "f_last"]
+RUN_KINDS = [pa.bool_(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+
 def _runs(batches, similarity: float):
-    names = ["text_hash", "at", "begin", "end", "n", "first_doc", "first_text", "first_at"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-    fields = ("at", "begin", "end", "n", "f_doc", "f_text", "f_at")
+    """Runs of each text; and, as homes, where they lie in their first texts: there begin and end are the first text's."""
+    fields = ("at", "begin", "end", "n", "f_doc", "f_text", "f_at", "f_last", "f_begin", "f_end")
     for batch in few(batches):
         out = []
         for text, own in zip(batch.column("text_hash").to_pylist(), batch.column("own").to_pylist(), strict=True):
-            runs = sorted({tuple(r[c] for c in fields) for r in own}, key=lambda r: (r[0], -r[3], r[5]))
-            out += [(text, *r) for r in joined(long_stretches(runs), similarity)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+            kept = long_stretches(uncovered({tuple(r[c] for c in fields) for r in own}))
+            out += [(True, text, r[0], r[8], r[9], r[3], r[4], r[5], r[6], r[7]) for r in kept if r[3] >= LEAST]
+            out += [(False, text, *r, None) for r in joined([r[:7] for r in kept], similarity)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(RUN_KINDS)], RUN_NAMES)
 
 
 def _homes(batches):
@@ -217,11 +243,15 @@ def common_runs(plain: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     both = meet(runs.join(edges, "spot"), theirs, hot(runs, "f_spot"), "f_spot", "spot")
     both = both.select("*", alike("before", "f_before").alias("l"), alike("behind", "f_behind").alias("r"))
     both = staged(both.selectExpr("text_hash", "at - l AS at", "begins[l] AS begin", "ends[r] AS end", "last - at + l + r AS n", "f_doc", "f_text", "f_at - l AS f_at", "f_last + r AS f_last", "f_begins[l] AS f_begin", "f_ends[r] AS f_end"), "extended")
-    own = both.groupBy("text_hash").agg(F.collect_list(F.struct("at", "begin", "end", "n", "f_doc", "f_text", "f_at")).alias("own"))
-    runs = staged(own.mapInArrow(partial(_runs, similarity=similarity), "text_hash long, at int, begin int, end int, n int, first_doc long, first_text long, first_at int"), "runs")
+    dropped(edges)
+    dropped(asked)
+    own = both.groupBy("text_hash").agg(F.collect_list(F.struct("at", "begin", "end", "n", "f_doc", "f_text", "f_at", "f_last", "f_begin", "f_end")).alias("own"))
+    told = own.mapInArrow(partial(_runs, similarity=similarity), "home boolean, text_hash long, at int, begin int, end int, n int, f_doc long, f_text long, f_at int, f_last int")
+    told = staged(told, "runs")
+    runs = told.where("NOT home").select("text_hash", "begin", "end", "n", F.col("f_doc").alias("first_doc"), F.col("f_text").alias("first_text"), F.col("f_at").alias("first_at"))
     # the stretches of the first documents that runs lie in; as many a text as it has words, at most
-    homes = both.where(f"n >= {LEAST}").groupBy("f_text", "f_at").agg(F.max(F.struct("f_last", "f_end")).alias("far"), F.min("f_begin").alias("begin"), F.min("f_doc").alias("f_doc"))
-    homes = homes.groupBy("f_text").agg(F.collect_list(F.struct(F.col("f_at").alias("at"), F.col("far.f_last").alias("last"), "begin", F.col("far.f_end").alias("end"), "f_doc")).alias("own"))
+    homes = told.where("home").groupBy("f_text", "f_at").agg(F.max(F.struct("f_last", "end")).alias("far"), F.min("begin").alias("begin"), F.min("f_doc").alias("f_doc"))
+    homes = homes.groupBy("f_text").agg(F.collect_list(F.struct(F.col("f_at").alias("at"), F.col("far.f_last").alias("last"), "begin", F.col("far.end").alias("end"), "f_doc")).alias("own"))
     homes = staged(homes.mapInArrow(_homes, "text_hash long, home int, home_end int, begin int, end int, first_doc long"), "homes")
     at_home = homes.groupBy(F.col("text_hash").alias("first_text")).agg(F.collect_list(F.struct("home", "home_end")).alias("homes"))
     runs = meet(runs, at_home, hot(runs, "first_text"), "first_text", "text_hash", "left")

@@ -1,6 +1,6 @@
 """Repeated passages by paragraph MinHash banding.
 
-A paragraph is a line of at least LEAST words; shorter lines are joined with their neighbours, so every word is in one.
+A paragraph is a line of at least LEAST words, or shorter lines beside each other that together hold as many.
 Paragraphs that share a band of MinHash values are compared by the exact Jaccard similarity of their five-word shingles,
 and linked ones form components. Of a component that spans documents, the occurrences in the document of the smallest id
 stay. Runs of words that documents share inside paragraphs or across their borders are added by ``common_runs``.
@@ -39,46 +39,40 @@ def line_offsets(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def paragraph_lines(n: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
     """First and last line of each paragraph, from lines' words and rows: a line of LEAST words is one by itself; shorter
-    lines beside each other are joined until they hold as many. What is left over goes to the paragraph before, in a
-    row's beginning to the one behind; if that is all of a row, it's a paragraph. Every word is in one."""
+    lines beside each other are joined until they hold as many. What is left over is a paragraph if it is all of its
+    row; else it counts only as part of the runs that ``common_runs`` finds."""
     out: list[tuple[int, int]] = []
-    own, first, held = -1, -1, 0  # row, first line and words of the short lines at hand
-    for i, (words_, r) in enumerate(zip(n.tolist(), row.tolist(), strict=True)):
-        if not words_:
-            continue
+    own, first, held, last = -1, -1, 0, -1  # row; first line, words and last line of the short lines at hand
+    for i, (size, r) in enumerate(zip([*n.tolist(), 1], [*row.tolist(), -2], strict=True)):
         if r != own:
-            if held:
-                _leave(out, own, first, last, row)
-            own, first, held = r, -1, 0
-        if words_ >= LEAST and held and out and row[out[-1][1]] == r:
-            out[-1] = (out[-1][0], last)
-            first, held = -1, 0
-        first, held, last = (first if held else i), held + words_, i
+            if held and not (out and row[out[-1][1]] == own):
+                out.append((first, last))
+            own, held = r, 0
+        if not size:
+            continue
+        if size >= LEAST:
+            out.append((i, i))
+            held = 0
+            continue
+        first, held, last = (first if held else i), held + size, i
         if held >= LEAST:
             out.append((first, i))
-            first, held = -1, 0
-    if held:
-        _leave(out, own, first, last, row)
+            held = 0
     return out
 
 
-def _leave(out: list, own: int, first: int, last: int, row: np.ndarray) -> None:
-    if out and row[out[-1][1]] == own:
-        out[-1] = (out[-1][0], last)
-    else:
-        out.append((first, last))
-
-
 def units(data: np.ndarray, offs: np.ndarray, want_bands: bool = True):
-    """Paragraphs: (row, first byte, end byte, words, key), their bands, and their sets."""
+    """Paragraphs: (row, first byte, end byte, words, key, of several lines), their bands, and their sets."""
     at = line_offsets(data, offs)
     h, ranges, starts, ends = words(data, at)
     line_row = np.searchsorted(offs, at[:-1], "right") - 1
     lines = np.array(paragraph_lines(np.diff(ranges), line_row), np.int64).reshape(-1, 2)
     # words of a paragraph stand side by side
     first, last = ranges[:-1][lines[:, 0]], ranges[1:][lines[:, 1]]
-    own = np.append(first, len(h))
-    facts = (line_row[lines[:, 0]], starts[first], ends[last - 1], last - first, digests(h, own))
+    own = np.concatenate([[0], np.cumsum(last - first)])
+    h = h[np.arange(own[-1]) + np.repeat(first - own[:-1], last - first)]
+    several = lines[:, 0] < lines[:, 1]
+    facts = (line_row[lines[:, 0]], starts[first], ends[last - 1], last - first, digests(h, own), several)
     s, out = shingles(h, own, SHINGLE)
     e = occurrences(s, out)
     return facts, (bands(min_hashes(e, out, BANDS * ROWS), ROWS) if want_bands and len(lines) else np.zeros((0, BANDS), U)), e, out
@@ -87,16 +81,16 @@ def units(data: np.ndarray, offs: np.ndarray, want_bands: bool = True):
 def _units(batches):
     for batch in batches:
         for lo, hi, data, offs in slices(batch.column("text")):
-            (row, begin, end, n, key), b, _, _ = units(data, offs)
+            (row, begin, end, n, key, several), b, _, _ = units(data, offs)
             ids, texts = (batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("doc_id", "text_hash"))
             base = offs[row]
-            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), lists(signed(b.ravel()), np.arange(len(b) + 1) * BANDS)], ["doc_id", "text_hash", "begin", "end", "n", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(several), lists(signed(b.ravel()), np.arange(len(b) + 1) * BANDS)], ["doc_id", "text_hash", "begin", "end", "n", "key", "several", "bands"])
 
 
 def _paragraph_sets(batches):
     for batch in batches:
         for _, _, data, offs in slices(batch.column("text")):
-            (_, _, _, _, key), _, e, own = units(data, offs, want_bands=False)
+            (_, _, _, _, key, _), _, e, own = units(data, offs, want_bands=False)
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), lists((e >> U(32)).astype(np.uint32).view(np.int32), own)], ["key", "items"])
 
 
@@ -107,7 +101,8 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
 
     Occurrences in the document of the smallest id (first_doc) are not removed, all others are. kind is ``wording`` for
     paragraphs that stand in another document word for word, ``linked`` for those in a component of several wordings,
-    ``run`` for runs of words inside or across paragraphs (common_runs). Rows of one doc_id are one document; rows of
+    ``run`` for runs of words inside or across paragraphs (common_runs). A paragraph of several lines of which a run
+    to an earlier document covers that similarity's share is not reported besides. Rows of one doc_id are one document; rows of
     null id count together as one document after all others. Null and empty texts hold no passages. Repeated rows are
     reported each. An empty table gives no rows.
     """
@@ -119,7 +114,25 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
 def _repeats(docs: DataFrame, similarity: float, doc_id: str, text: str) -> DataFrame:
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     plain = plain.withColumn("text_hash", F.xxhash64("text"))
-    found = staged(plain.mapInArrow(_units, "doc_id long, text_hash long, begin int, end int, n int, key long, bands array<long>"), "units")
+    with scratch() as keep:
+        spans = keep(staged(paragraph_repeats(plain, similarity), "paragraph_repeats"))
+    with scratch() as keep:
+        runs = keep(staged(common_runs(plain, similarity), "common_runs"))
+    # a paragraph of several lines may stand, broken otherwise, in an earlier document: then the run tells of it
+    told = runs.where("doc_id <> first_doc").select("doc_id", "text_hash", "begin", "end", "first_doc").distinct()
+    told = told.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end", "first_doc")).alias("told"))
+    of_lines = spans.where("several").join(told, ["doc_id", "text_hash"], "left")
+    most = f"least(t.end, end) - greatest(t.begin, begin) >= {similarity} * (end - begin)"
+    of_lines = of_lines.where(f"told IS NULL OR NOT exists(told, t -> t.first_doc < first_doc AND {most})")
+    out = spans.where("NOT several").unionByName(of_lines.drop("told")).drop("several").unionByName(runs.withColumn("kind", F.lit("run")))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), "text_hash", (F.col("doc_id") != F.col("first_doc")).alias("removed"), "kind")
+
+
+def paragraph_repeats(plain: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, text_hash, begin, end, n, passage, first_doc, kind, several (of more than one line) of the paragraphs of
+    ``plain`` (doc_id, text, text_hash; no null ids) that several documents hold, alike or similar."""
+    found = staged(plain.mapInArrow(_units, "doc_id long, text_hash long, begin int, end int, n int, key long, several boolean, bands array<long>"), "units")
     # one row for each wording
     reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("times"))
     reps = staged(reps, "paragraphs")
@@ -141,15 +154,12 @@ def _repeats(docs: DataFrame, similarity: float, doc_id: str, text: str) -> Data
     # wordings that more than one document holds, alone or through a component
     held = reps.select("key", F.col("doc_id").alias("low"), "high", "times").join(roots.withColumnRenamed("node", "key"), "key", "left")
     alone = held.where("root IS NULL AND low < high").selectExpr("key", "key AS passage", "low AS first_doc", "'wording' AS kind", "times")
-    several = held.where("root IS NOT NULL")
-    spans = several.groupBy(F.col("root").alias("passage")).agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
-    chosen = alone.unionByName(several.withColumnRenamed("root", "passage").join(spans, "passage").selectExpr("key", "passage", "first_doc", "'linked' AS kind", "times"))
+    many = held.where("root IS NOT NULL")
+    spans = many.groupBy(F.col("root").alias("passage")).agg(F.min("low").alias("first_doc"), F.max("high").alias("high")).where("first_doc < high").drop("high")
+    chosen = alone.unionByName(many.withColumnRenamed("root", "passage").join(spans, "passage").selectExpr("key", "passage", "first_doc", "'linked' AS kind", "times"))
     chosen = staged(chosen, "passages")
     common = chosen.where(F.col("times") > (chosen.agg(F.sum("times")).first()[0] or 0) / HEAVY).select("key")
-    out = meet(found.select("doc_id", "text_hash", "begin", "end", "n", "key"), chosen.drop("times"), common, "key", "text_hash").drop("key")
-    out = out.unionByName(common_runs(plain, similarity).withColumn("kind", F.lit("run")))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), "begin", "end", F.col("n").alias("n_words"), "passage", real("first_doc").alias("first_doc"), "text_hash", (F.col("doc_id") != F.col("first_doc")).alias("removed"), "kind")
+    return meet(found.select("doc_id", "text_hash", "begin", "end", "n", "key", "several"), chosen.drop("times"), common, "key", "text_hash").drop("key")
 
 
 def _cut_out(batches):
