@@ -23,7 +23,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 K, ROWS = 64, 4  # coordinates, and how many make a band: 16 bands find a pair of similarity 0.8 with 0.9998
 BROADCAST_IDS = 200_000
-CELL = 4_000_000  # elements of a bucket, or of smaller buckets together, that one task compares
+CELL = 4_000_000  # elements of a bucket that one task compares
+PART = 400_000  # elements of smaller buckets that are compared together
 STEP = 2_000_000  # elements or counts looked up at a time
 MANY, DENSE = 256, 8  # rows of a bucket with a matrix of its own; it holds elements of more than one in DENSE of them
 MEMBER = 100  # elements that a member counts for besides its own
@@ -242,14 +243,14 @@ def joining_links_dense(root: np.ndarray, items: np.ndarray, ranges: np.ndarray,
 
 
 def _joiner(similarity: float):
-    """Links of buckets that come one after another: whole buckets of about CELL elements at a time."""
+    """Links of buckets that come one after another: whole buckets of about PART elements at a time, or one larger."""
 
     def run(batches):
         held, mass = [], 0
         for batch in batches:
             held.append(batch)
             mass += len(batch.column("items").flatten()) + MEMBER * batch.num_rows
-            if mass > CELL:
+            if mass > PART:
                 whole = pa.Table.from_batches(held)
                 bucket = whole.column("bucket").to_numpy()
                 cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on

@@ -20,9 +20,15 @@ _shipped: set[str] = set()
 _scratch: list[list[DataFrame]] = []
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: by path on a local master, as a file that Spark hands out elsewhere."""
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession, batch_rows: int = 2000) -> None:
+    """Let Python workers import this package: by path on a local master, as a file that Spark hands out elsewhere. They
+    get ``batch_rows`` rows at a time at most: texts are long."""
     sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= batch_rows:
+        spark.conf.set(BATCH_ROWS, batch_rows)
     if sc.master.startswith("local["):
         root = str(package.parent)
         if root not in sc.environment.get("PYTHONPATH", "").split(":"):

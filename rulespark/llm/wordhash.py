@@ -67,6 +67,7 @@ def slices(col, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray
         hi = min(n, max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 def words(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = ALNUM, mask: np.ndarray | None = None):
