@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from functools import reduce
 from pathlib import Path
@@ -23,11 +24,15 @@ LENGTH = 4096
 END_ID = 1
 PIECES_PER_BLOCK = 40_000
 TURNS = 8  # of packing, at most
-CACHE_WORDS = 300_000  # tokenised words that a worker remembers
+CACHE_WORDS = 250_000  # tokenised words that a worker remembers
 
 _kept: dict = {}
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 #: Letters that NFC leaves alone and that lower-case one to one: plain ones and those of U+00C0 to U+017F.
 _LATIN = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and ord(c) != 0x130)
 _EASY = re.compile(f"[!-~{_LATIN}]+")
@@ -70,19 +75,18 @@ class _Encoded(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.short_way = splits_at_blanks(path)
-        self.parts: dict[str, bytes] = {}
         self.symbols = _byte_symbols()
 
     def __missing__(self, raw: bytes) -> bytes:
         run = raw.decode()
         if _EASY.fullmatch(run) and "<|" not in run:
-            out = b""
-            for part in _PARTS.findall(run.lower()):
-                ids = self.parts.get(part)
-                if ids is None:
-                    tokens = self.model.tokenize(part if part.isascii() else part.translate(self.symbols))
-                    ids = self.parts[part] = np.array([t.id for t in tokens], "<u4").tobytes()
-                out += ids
+            low = run.lower()
+            parts = _PARTS.findall(low)
+            if len(parts) == 1 and low == run:
+                out = packed_ids([t.id for t in self.model.tokenize(run if run.isascii() else run.translate(self.symbols))])
+            else:
+                # parts are runs by themselves, and mostly known as such
+                out = b"".join([self[part.encode()] for part in parts])
         else:
             out = np.array(self.whole.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
         self[raw] = out
@@ -93,8 +97,6 @@ class _Encoded(dict):
             return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > CACHE_WORDS:
             self.clear()
-        if len(self.parts) > 2 * CACHE_WORDS:
-            self.parts.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
 
