@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .near_dup import HEAVY, SHINGLE, SIMILARITY, hot, meet
 from .runtime import dropped, small_enough, staged
-from .wordhash import lists, shingles, signed, slices, words
+from .wordhash import lists, release, shingles, signed, slices, words
 
 SEED, WIDTH = 12, 13
 RUN = SEED + WIDTH - 1  # shared runs of so many words hold a seed
@@ -149,6 +149,7 @@ def few(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, ROWS):
             yield batch.slice(lo, ROWS)
+        release()
 
 
 def uncovered(runs: list) -> list:

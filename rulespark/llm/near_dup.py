@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .runtime import scratch, ship, small_enough, staged, table
-from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed, slices, words
+from .wordhash import U, _C, digests, lists, mix, occurrences, release, shingles, signed, slices, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -260,6 +260,7 @@ def _joiner(similarity: float):
                     mass = sum(len(b.column("items").flatten()) + MEMBER * b.num_rows for b in held)
         if held:
             yield from links_of(pa.Table.from_batches(held))
+        release()
 
     def links_of(rows):
         rows = rows.combine_chunks()

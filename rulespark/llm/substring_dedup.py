@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common_runs import common_runs
 from .near_dup import HEAVY, SHINGLE, SIMILARITY, bands, linked, meet, shared_buckets
 from .runtime import scratch, ship, small_enough, staged, table
-from .wordhash import U, _C, digests, lists, mix, occurrences, shingles, signed, slices, words
+from .wordhash import U, _C, digests, lists, mix, occurrences, release, shingles, signed, slices, words
 
 LEAST = 20  # words of a paragraph, where its document has so many
 BANDS, ROWS = 8, 3  # find a pair of similarity 0.8 with 0.997
@@ -176,6 +176,7 @@ def _cut_out(batches):
                 text = b"".join([*kept, text[at:]])
             made.append(text)
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.binary()).cast(pa.string())], ["row", "text"])
+    release()
 
 
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

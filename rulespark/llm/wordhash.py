@@ -7,6 +7,8 @@ mixed, so a whole batch takes a fixed number of numpy passes and no Python objec
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,13 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def release() -> None:
+    """Give the system back what this worker holds but doesn't use: idle workers stay for the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(col, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``max_bytes``; a longer text comes alone, whole.
     Null counts as empty."""
@@ -67,7 +76,7 @@ def slices(col, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray
         hi = min(n, max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
-    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
+    release()
 
 
 def words(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = ALNUM, mask: np.ndarray | None = None):
