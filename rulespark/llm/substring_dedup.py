@@ -62,7 +62,8 @@ def paragraph_lines(n: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
 
 
 def units(data: np.ndarray, offs: np.ndarray, want_bands: bool = True):
-    """Paragraphs: (row, first byte, end byte, words, key, of several lines), their bands, and their sets."""
+    """Paragraphs: (row, first byte, end byte, words, key, of several lines), their bands, and their sets; and, of rows
+    that have words beside their paragraphs, all words: (row, first byte, end byte, words, key)."""
     at = line_offsets(data, offs)
     h, ranges, starts, ends = words(data, at)
     line_row = np.searchsorted(offs, at[:-1], "right") - 1
@@ -70,27 +71,34 @@ def units(data: np.ndarray, offs: np.ndarray, want_bands: bool = True):
     # words of a paragraph stand side by side
     first, last = ranges[:-1][lines[:, 0]], ranges[1:][lines[:, 1]]
     own = np.concatenate([[0], np.cumsum(last - first)])
+    by_row = np.searchsorted(starts, offs)
+    beside = np.flatnonzero(np.diff(by_row) > np.bincount(line_row[lines[:, 0]], weights=last - first, minlength=len(offs) - 1))
+    whole = (beside, starts[by_row[beside]], ends[by_row[beside + 1] - 1], np.diff(by_row)[beside], digests(h, by_row)[beside])
     h = h[np.arange(own[-1]) + np.repeat(first - own[:-1], last - first)]
     several = lines[:, 0] < lines[:, 1]
     facts = (line_row[lines[:, 0]], starts[first], ends[last - 1], last - first, digests(h, own), several)
     s, out = shingles(h, own, SHINGLE)
     e = occurrences(s, out)
-    return facts, (bands(min_hashes(e, out, BANDS * ROWS), ROWS) if want_bands and len(lines) else np.zeros((0, BANDS), U)), e, out
+    return facts, (bands(min_hashes(e, out, BANDS * ROWS), ROWS) if want_bands and len(lines) else np.zeros((0, BANDS), U)), e, out, whole
 
 
 def _units(batches):
     for batch in batches:
         for lo, hi, data, offs in slices(batch.column("text")):
-            (row, begin, end, n, key, several), b, _, _ = units(data, offs)
+            paragraphs, b, _, _, whole = units(data, offs)
+            # a whole text has no bands: it is found by its wording alone
+            row, begin, end, n, key = (np.concatenate(x) for x in zip(paragraphs[:5], whole, strict=True))
+            several = np.append(paragraphs[5], np.zeros(len(whole[0]), bool))
+            turns = np.append(np.arange(len(b) + 1) * BANDS, np.full(len(whole[0]), len(b) * BANDS))
             ids, texts = (batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("doc_id", "text_hash"))
             base = offs[row]
-            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(several), lists(signed(b.ravel()), np.arange(len(b) + 1) * BANDS)], ["doc_id", "text_hash", "begin", "end", "n", "key", "several", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(several), lists(signed(b.ravel()), turns)], ["doc_id", "text_hash", "begin", "end", "n", "key", "several", "bands"])
 
 
 def _paragraph_sets(batches):
     for batch in batches:
         for _, _, data, offs in slices(batch.column("text")):
-            (_, _, _, _, key, _), _, e, own = units(data, offs, want_bands=False)
+            (_, _, _, _, key, _), _, e, own, _ = units(data, offs, want_bands=False)
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), lists((e >> U(32)).astype(np.uint32).view(np.int32), own)], ["key", "items"])
 
 
@@ -100,7 +108,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     kind.
 
     Occurrences in the document of the smallest id (first_doc) are not removed, all others are. kind is ``wording`` for
-    paragraphs that stand in another document word for word, ``linked`` for those in a component of several wordings,
+    paragraphs, and whole texts, that stand in another document word for word, ``linked`` for those in a component of several wordings,
     ``run`` for runs of words inside or across paragraphs (common_runs). A paragraph of several lines of which a run
     to an earlier document covers that similarity's share is not reported besides. Rows of one doc_id are one document; rows of
     null id count together as one document after all others. Null and empty texts hold no passages. Repeated rows are
