@@ -119,6 +119,9 @@ class Model:
     def __init__(self, head_h, head_c, head_sfx, slot_class, by_slot, n, v, unseen):
         order = np.argsort(head_h, kind="stable")
         self.keys, self.counts = head_h[order], head_c[order]
+        # hashes are even: the first bits tell where to look, to a few places
+        self.bits = max(1, len(order).bit_length() + 1)
+        self.begin = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=U) << U(64 - self.bits)).astype(np.int32)
         slot = np.arange(len(slot_class))
         # words without a cell of their own share one by their endings
         self.slot_place = slot_class * CELLS + CELLS - 1 - (mix(slot.astype(U) + _C[3]) >> U(40)).astype(np.int64) % SHARED
@@ -145,8 +148,17 @@ class Model:
 
     def describe(self, h: np.ndarray, sfx: np.ndarray):
         """Place and count (0: not a head word) of tokens."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        known = self.keys[at] == h
+        at = np.minimum(self.begin[h >> U(64 - self.bits)], len(self.keys) - 1)
+        key = self.keys[at]
+        known = key == h
+        low = np.flatnonzero(key < h)
+        while len(low):
+            at[low] += 1
+            low = low[at[low] < len(self.keys)]
+            key = self.keys[at[low]]
+            known[low] = key == h[low]
+            low = low[key < h[low]]
+        at = np.minimum(at, len(self.keys) - 1)
         return np.where(known, self.places[at], self.slot_place[sfx]), np.where(known, self.counts[at], 0)
 
     def slots(self, h: np.ndarray, place: np.ndarray, ranges: np.ndarray) -> tuple[list, list]:
@@ -205,13 +217,20 @@ class Model:
 def summed(parts: DataFrame, rows: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     """Sums of both tables' rows over all tasks, and of the tokens seen."""
     blocks = parts.repartition("block").mapInArrow(_add, "tab int, row int, seen long, vals binary").toArrow()
-    out, seen = (np.zeros((rows, CLASSES), np.float32), np.zeros((rows, CELLS), np.float32)), 0
-    for tab, row, n, vals in zip(*(blocks.column(c) for c in ("tab", "row", "seen", "vals")), strict=True):
-        if tab.as_py() < 0:
-            seen += n.as_py()
-        else:
-            out[tab.as_py()][row.as_py()] = np.frombuffer(vals.as_buffer(), np.float32)
-    return out, seen
+    out = np.zeros((rows, CLASSES), np.float32), np.zeros((rows, CELLS), np.float32)
+    for batch in blocks.to_batches():
+        tab, row, vals = unpacked(batch)
+        for k, x in enumerate(out):
+            x[row[tab == k]] = vals[tab == k]
+    return out, int(blocks.column("seen").to_numpy().sum())
+
+
+def unpacked(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table, row and values of the rows of tables in a batch."""
+    tab = batch.column("tab").to_numpy()
+    real = np.flatnonzero(tab >= 0)
+    vals = np.frombuffer(b"".join(batch.column("vals").take(pa.array(real)).to_pylist()), np.float32).reshape(len(real), CLASSES)
+    return tab[real], batch.column("row").to_numpy()[real], vals
 
 
 def _emitted(tables, seen: int):
@@ -229,25 +248,26 @@ def _emitted(tables, seen: int):
 
 def _add(batches):
     """Sums of rows over tasks: rows of one block of 64 meet in one task."""
-    index: dict[tuple[int, int], int] = {}
+    index: dict[int, int] = {}  # place of a row in the sums, by table and row
     sums, seen = np.zeros((0, CLASSES)), 0
     for batch in batches:
-        tab, row = batch.column("tab").to_numpy(), batch.column("row").to_numpy()
         seen += int(batch.column("seen").to_numpy().sum())
-        real = np.flatnonzero(tab >= 0)
-        if not len(real):
+        tab, row, vals = unpacked(batch)
+        if not len(tab):
             continue
-        vals = np.frombuffer(b"".join(batch.column("vals").take(pa.array(real)).to_pylist()), np.float32).reshape(len(real), CLASSES)
-        at = np.array([index.setdefault(k, len(index)) for k in zip(tab[real].tolist(), row[real].tolist(), strict=True)])
+        key = tab.astype(np.int64) << 32 | row
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        at = np.array([index.setdefault(k, len(index)) for k in key[order[first]].tolist()])
         if len(index) > len(sums):
             sums = np.concatenate([sums, np.zeros((2 * len(index) - len(sums), CLASSES))])
-        np.add.at(sums, at, vals)
+        sums[at] += np.add.reduceat(vals[order], first, axis=0, dtype=np.float64)
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([b""], pa.binary())], ["tab", "row", "seen", "vals"])
     if index:
-        keys = list(index)
+        keys = np.array(list(index))
         data = [x.tobytes() for x in sums[: len(index)].astype(np.float32)]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([0] * len(keys), pa.int64()), pa.array(data, pa.binary())], ["tab", "row", "seen", "vals"])
+        yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array(keys.astype(np.int32)), pa.array(np.zeros(len(keys), np.int64)), pa.array(data, pa.binary())], ["tab", "row", "seen", "vals"])
 
 
 def _start_counts(shared):
@@ -262,14 +282,16 @@ def _start_counts(shared):
                 place, _ = model.describe(h, sfx)
                 seen += len(h)
                 for x, slots, target, width in zip(sums, model.slots(h, place, ranges), (place // CELLS, place % CELLS), (CLASSES, CELLS), strict=True):
-                    x += np.bincount(np.concatenate([s * np.int64(width) + target for s in slots]), minlength=len(x))
+                    for s in slots:
+                        np.add.at(x, s * np.int64(width) + target, 1)
         yield from _emitted([x.reshape(model.rows, -1) for x in sums], seen)
 
     return count
 
 
 def _gradients(shared):
-    """Sums over tokens of (target - probability) for each row that their histories switch on."""
+    """Sums over tokens of (target - probability) for each row that their histories switch on. The tables are large:
+    only a feature's part of a column is made anew at a time."""
 
     def train(batches):
         model = shared.value
@@ -282,11 +304,12 @@ def _gradients(shared):
                 spread = np.empty((CLASSES, len(h)))
                 for which, (x, slots) in enumerate(zip(sums, model.slots(h, place, ranges), strict=True)):
                     model.factor(which, slots, place, spread)
-                    target = place % CELLS if which else place // CELLS
-                    for s in slots:
-                        x += np.bincount(s + target * np.int64(model.rows), minlength=x.size).reshape(x.shape)
+                    spread[place % CELLS if which else place // CELLS, np.arange(len(h))] -= 1
+                    size = model.rows // len(slots)
+                    for part, s in enumerate(slots):
+                        s = s.astype(np.intp) - part * size
                         for k, own in enumerate(spread):
-                            x[k] -= np.bincount(s, weights=own, minlength=model.rows)
+                            x[k, part * size : (part + 1) * size] -= np.bincount(s, weights=own, minlength=size)
         yield from _emitted([x.T for x in sums], seen)
 
     return train

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import corpus_pipeline
@@ -126,6 +127,69 @@ def test_lm_gradients_by_brute_force(spark):
         assert np.abs(a - b).max() < 1e-2
 
 
+def blank_model(rows):
+    zero = np.zeros(1, np.int64)
+    model = lm_score.Model(np.zeros(1, U), zero, zero, np.zeros(1024, np.int64), np.zeros(1024), 1, 1, 0.1)
+    model.rows = rows
+    model.weights = np.zeros((rows, lm_score.CLASSES), np.float32), np.zeros((rows, lm_score.CELLS), np.float32)
+    return model
+
+
+def test_lm_training_does_not_pass_over_whole_tables():
+    """A short text costs no more than the sums that a task holds, however large the tables are."""
+
+    class Held:
+        value = blank_model(1 << 15)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c"])], ["text"])
+    own = (1 << 15) * (lm_score.CLASSES + lm_score.CELLS) * 8
+    for work in (lm_score._gradients, lm_score._start_counts):
+        for _ in work(Held)([batch]):  # what is made once
+            pass
+        tracemalloc.start()
+        for _ in work(Held)([batch]):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 1.25 * own
+
+
+def test_lm_head_words_are_found():
+    """Among hashes that crowd in one place, lie at both ends or repeat a prefix, as searchsorted finds them."""
+    rng = np.random.default_rng(3)
+    top = np.iinfo(np.uint64).max
+    for keys in (rng.integers(0, top, 5000, U, True), np.arange(300, dtype=U), top - np.arange(300, dtype=U), np.array([0, top], U), np.array([7], U)):
+        keys = np.unique(keys)
+        sfx = rng.integers(0, 1024, len(keys))
+        model = lm_score.Model(keys, np.arange(1, len(keys) + 1), sfx, rng.integers(0, 32, 1024), np.ones(1024), 10, 10, 0.1)
+        asked = np.concatenate([keys, keys + U(1), keys - U(1), rng.integers(0, top, 2000, U, True)])
+        slots = rng.integers(0, 1024, len(asked))
+        place, count = model.describe(asked, slots)
+        at = np.minimum(np.searchsorted(model.keys, asked), len(keys) - 1)
+        known = model.keys[at] == asked
+        assert np.array_equal(count, np.where(known, model.counts[at], 0))
+        assert np.array_equal(place, np.where(known, model.places[at], model.slot_place[slots]))
+
+
+def test_lm_rows_are_added_over_tasks():
+    """Rows of tables, many times each and in any order, add up; tokens seen too."""
+    rng = np.random.default_rng(4)
+    want, batches = np.zeros((2, 128, 32)), []
+    for seen in range(5):
+        parts = [np.where(rng.random((128, 1)) < 0.5, rng.random((128, 32), np.float32), 0).astype(np.float32) for _ in range(2)]
+        want += parts
+        batches += list(lm_score._emitted(parts, seen))
+    table = pa.Table.from_batches(batches)
+    mixed = table.take(pa.array(rng.permutation(len(table)))).to_batches(max_chunksize=70)
+    got, seen = np.zeros((2, 128, 32)), 0
+    for b in lm_score._add(iter(mixed)):
+        seen += int(b.column("seen").to_numpy().sum())
+        for tab, row, vals in zip(*lm_score.unpacked(b), strict=True):
+            assert not got[tab, row].any()
+            got[tab, row] = vals
+    assert seen == 10 and np.allclose(got, want, atol=1e-5)
+
+
 def test_lm_learns_and_its_tables_grow(spark):
     """Words that follow each other in the training texts get more than their counts alone give."""
     rng = random.Random(4)
