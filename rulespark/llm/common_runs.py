@@ -31,12 +31,15 @@ def seeds(h: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """(row, first word in the row, hash) of the winnowed seeds of rows of at least RUN words."""
     s, own = shingles(h, ranges, SEED)
     row = np.repeat(np.arange(len(own) - 1), np.diff(own))
-    at = np.flatnonzero(np.arange(len(s)) + WIDTH <= own[1:][row])
-    best, place = s[at].copy(), at.copy()
-    for j in range(1, WIDTH):
-        low = s[at + j] <= best
-        best[low], place[low] = s[at[low] + j], at[low] + j
-    place = np.unique(place)
+    # the lowest of so many places from each on, the last of equal ones: a window is two that overlap
+    best, place, width = s, np.arange(len(s)), 1
+    while width < WIDTH and len(best):
+        step = min(width, WIDTH - width)
+        later = best[step:] <= best[:-step]
+        best, place = np.where(later, best[step:], best[:-step]), np.where(later, place[step:], place[:-step])
+        width += step
+    place = place[np.arange(len(place)) + WIDTH <= own[1:][row[: len(place)]]]
+    place = place[np.diff(place, prepend=-1) != 0]  # they rise
     return row[place], place - own[row[place]], s[place]
 
 

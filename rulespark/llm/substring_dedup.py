@@ -21,6 +21,7 @@ from .wordhash import U, _C, digests, lists, mix, occurrences, release, shingles
 
 LEAST = 20  # words of a paragraph, where its document has so many
 BANDS, ROWS = 8, 3  # find a pair of similarity 0.8 with 0.997
+BAND_NAMES = [f"band{k}" for k in range(BANDS)]
 NO_ID = 2**63 - 1
 BROADCAST_IDS = 200_000
 
@@ -89,10 +90,11 @@ def _units(batches):
             # a whole text has no bands: it is found by its wording alone
             row, begin, end, n, key = (np.concatenate(x) for x in zip(paragraphs[:5], whole, strict=True))
             several = np.append(paragraphs[5], np.zeros(len(whole[0]), bool))
-            turns = np.append(np.arange(len(b) + 1) * BANDS, np.full(len(whole[0]), len(b) * BANDS))
+            none = np.arange(len(row)) >= len(b)
+            columns = [pa.array(np.append(signed(np.ascontiguousarray(x)), np.zeros(len(whole[0]), np.int64)), mask=none) for x in b.T]
             ids, texts = (batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("doc_id", "text_hash"))
             base = offs[row]
-            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(several), lists(signed(b.ravel()), turns)], ["doc_id", "text_hash", "begin", "end", "n", "key", "several", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(key)), pa.array(several), *columns], ["doc_id", "text_hash", "begin", "end", "n", "key", "several", *BAND_NAMES])
 
 
 def _paragraph_sets(batches):
@@ -140,18 +142,19 @@ def _repeats(docs: DataFrame, similarity: float, doc_id: str, text: str) -> Data
 def paragraph_repeats(plain: DataFrame, similarity: float) -> DataFrame:
     """doc_id, text_hash, begin, end, n, passage, first_doc, kind, several (of more than one line) of the paragraphs of
     ``plain`` (doc_id, text, text_hash; no null ids) that several documents hold, alike or similar."""
-    found = staged(plain.mapInArrow(_units, "doc_id long, text_hash long, begin int, end int, n int, key long, several boolean, bands array<long>"), "units")
-    # one row for each wording
-    reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("times"))
+    found = staged(plain.mapInArrow(_units, "doc_id long, text_hash long, begin int, end int, n int, key long, several boolean, " + ", ".join(f"{b} long" for b in BAND_NAMES)), "units")
+    # one row for each wording; it has bands, and a holder, if it stands as a paragraph anywhere
+    paragraph = F.col(BAND_NAMES[0]).isNotNull()
+    reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.when(paragraph, F.col("doc_id"))).alias("holder"), F.max("doc_id").alias("high"), F.max("n").alias("n"), *[F.max(b).alias(b) for b in BAND_NAMES], F.count("*").alias("times"))
     reps = staged(reps, "paragraphs")
-    rows = reps.select("key", "n", F.explode("bands").alias("bucket"))
+    rows = reps.where(paragraph).select("key", "n", F.explode(F.array(*BAND_NAMES)).alias("bucket"))
     sizes, heavy = shared_buckets(rows)
     rows = staged(meet(rows, sizes, heavy), "shared")  # read twice below
     rows = staged(rows.join(rows.groupBy("key").agg(F.sum("size").alias("weight")), "key").select("bucket", "key", "n", "weight", "size"), "buckets")
 
     def load_sets(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        ids = staged(reps.join(wanted, "key").select("key", "doc_id"), "wanted")
+        ids = staged(reps.join(wanted, "key").select("key", F.col("holder").alias("doc_id")), "wanted")
         small = small_enough(ids, BROADCAST_IDS)
         side = lambda c: F.broadcast(ids.select(c).distinct()) if small else ids.select(c).distinct()
         texts = plain.join(side("doc_id"), "doc_id", "left_semi").select("text")

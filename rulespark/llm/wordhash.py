@@ -128,7 +128,15 @@ def occurrences(s: np.ndarray, ranges: np.ndarray) -> np.ndarray:
     if not len(s):
         return s
     row = np.repeat(np.arange(len(ranges) - 1, dtype=U), np.diff(ranges))
-    order = np.argsort(key := s ^ mix(row + U(1)), kind="stable")
+    key = s ^ mix(row + U(1))
+    # only what repeats, and what shares low bits with it, must be in order
+    low, mask = np.sort(key), U((1 << 18) - 1)
+    marks = np.zeros(1 << 18, bool)
+    marks[low[1:][low[1:] == low[:-1]] & mask] = True
+    some = np.flatnonzero(marks[key & mask])
+    if not len(some):
+        return s
+    order = some[np.argsort(key[some], kind="stable")]
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     turn = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))

@@ -546,6 +546,39 @@ def test_shared_runs_by_brute_force(spark):
     assert total > 100 and missed == 0
 
 
+def test_a_paragraph_that_is_a_whole_text_elsewhere_keeps_its_links(spark):
+    """Document 1 holds a paragraph's words as a whole text of short lines, of which some are left over."""
+    w = [f"w{i}" for i in range(29)]
+    lines = [" ".join(w[:12]), " ".join(w[12:24]), " ".join(w[24:])]
+    rows = [(1, "\n".join(lines)), (2, " ".join(w)), (3, " ".join([*w[:-1], "other"]))]
+    for order in (rows, rows[::-1]):
+        got = substring_dedup.repeats(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).where("kind = 'linked'").collect()
+        assert {r["doc_id"] for r in got} == {1, 2, 3} and len({r["passage"] for r in got}) == 1
+
+
+def test_seeds_and_repeats_by_brute_force():
+    """Winnowed seeds, and repeats of values in rows, among hashes that repeat much or little."""
+    rng = np.random.default_rng(6)
+    for kinds in (2, 30, 10**9):
+        ranges = np.concatenate([[0], np.cumsum(rng.integers(0, 70, 12))])
+        h = rng.integers(0, kinds, ranges[-1]).astype(U)
+        s, own = common_runs.shingles(h, ranges, common_runs.SEED)
+        want = set()
+        for row in range(12):
+            for lo in range(own[row], own[row + 1] - common_runs.WIDTH + 1):
+                place = max(range(lo, lo + common_runs.WIDTH), key=lambda i: (-int(s[i]), i))  # noqa: B023
+                want.add((row, int(place - own[row]), int(s[place])))
+        assert [tuple(int(v) for v in x) for x in zip(*common_runs.seeds(h, ranges), strict=True)] == sorted(want)
+        e = substring_dedup.occurrences(h, ranges)
+        turns = {}
+        for row in range(12):
+            seen = collections.Counter()
+            for i in range(ranges[row], ranges[row + 1]):
+                assert turns.setdefault((int(h[i]), seen[h[i]]), e[i]) == e[i]
+                seen[h[i]] += 1
+        assert len(set(turns.values())) == len(turns)
+
+
 def test_remove_repeats_keeps_clashing_columns(spark):
     a, b = corpus(2, seed=32, size=40)
     rows = [(1, a, "s", "i", "h", 0, {"k": 1}), (2, a + "\n" + b, "s", "i", "h", 0, None), (3, None, None, None, None, 0, None), (2, a + "\n" + b, "t", "i", "h", 0, None)]
