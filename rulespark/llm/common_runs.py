@@ -89,8 +89,8 @@ def _chains(batches):
 
 def _edges(batches):
     """What stands around stretches of words: hashes of the EDGE words before and behind, and the bytes where each of
-    these words begins or ends."""
-    for batch in once(batches):
+    these words begins or ends. A text comes once."""
+    for batch in batches:
         for lo, hi, data, offs in slices(batch.column("text")):
             h, ranges, starts, ends = words(data, offs)
             own = batch.slice(lo, hi - lo)
@@ -98,6 +98,7 @@ def _edges(batches):
             row = np.repeat(np.arange(hi - lo), np.diff(asked.offsets.to_numpy()))
             flat = asked.flatten()
             at, last = (flat.field(c).to_numpy() for c in ("at", "last"))
+            sides = [flat.field(c) for c in ("of_run", "of_first")]
             first, end = at + ranges[:-1][row], last + ranges[:-1][row]
             before, behind = np.minimum(at, EDGE), np.minimum(ranges[1:][row] - end, EDGE)
             code = signed(h).astype(np.int32) if len(h) else np.zeros(0, np.int32)
@@ -109,7 +110,7 @@ def _edges(batches):
                 return lists(values[np.repeat(begin, count) + step * j].astype(np.int32), to)
 
             begins, stops = starts - offs[np.searchsorted(offs, starts, "right") - 1], ends - offs[np.searchsorted(offs, starts, "right") - 1]
-            yield pa.RecordBatch.from_arrays([own.column("text_hash").take(pa.array(row)), pa.array(at), pa.array(last), walk(before, first - 1, -1, code), walk(behind, end, 1, code), walk(before + 1, first, -1, begins), walk(behind + 1, end - 1, 1, stops)], ["text_hash", "at", "last", "before", "behind", "begins", "ends"])
+            yield pa.RecordBatch.from_arrays([own.column("text_hash").take(pa.array(row)), pa.array(at), pa.array(last), walk(before, first - 1, -1, code), walk(behind, end, 1, code), walk(before + 1, first, -1, begins), walk(behind + 1, end - 1, 1, stops), *sides], ["text_hash", "at", "last", "before", "behind", "begins", "ends", "of_run", "of_first"])
 
 
 def joined(runs: list, similarity: float):
@@ -235,23 +236,30 @@ def common_runs(plain: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     runs = own.mapInArrow(_chains, "text_hash long, at int, last int, f_doc long, f_text long, f_at int").withColumn("f_last", F.expr("f_at + last - at"))
     runs = staged(runs.select("*", spot("text_hash", "at", "last").alias("spot"), spot("f_text", "f_at", "f_last").alias("f_spot")), "chains")
     dropped(held)
-    # the words around both ends of each run, in its text and in the first
-    asked = runs.select("text_hash", "at", "last").unionAll(runs.select(F.col("f_text"), "f_at", "f_last")).distinct()
-    asked = staged(asked.groupBy("text_hash").agg(F.collect_list(F.struct("at", "last")).alias("asked")), "asked")
-    ids = asked.select("text_hash")
-    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    rows = plain.select("text_hash", "text").join(ids, "text_hash", "left_semi").join(asked, "text_hash")
-    edges = rows.mapInArrow(_edges, "text_hash long, at int, last int, before array<int>, behind array<int>, begins array<int>, ends array<int>")
-    edges = staged(edges.dropDuplicates(["text_hash", "at", "last"]).withColumn("spot", spot("text_hash", "at", "last")).drop("text_hash", "at", "last"), "edges")
-    theirs = edges.select(F.col("spot").alias("f_spot"), *[F.col(c).alias("f_" + c) for c in ("before", "behind", "begins", "ends")])
-    both = meet(runs.join(edges, "spot"), theirs, hot(runs, "f_spot"), "f_spot", "spot")
+    # the words around both ends of each run, in its text and in the first; of equal texts one is read
+    sides = runs.selectExpr("text_hash", "at", "last", "true AS of_run").unionAll(runs.selectExpr("f_text", "f_at", "f_last", "false"))
+    asked = sides.groupBy("text_hash", "at", "last").agg(F.bool_or("of_run").alias("of_run"), F.bool_or(~F.col("of_run")).alias("of_first"))
+    asked = asked.groupBy("text_hash").agg(F.collect_list(F.struct("at", "last", "of_run", "of_first")).alias("asked"))
+    asked = staged(asked.join(texts.select("text_hash", F.col("low").alias("doc_id")), "text_hash"), "asked")
+    rows, row = plain.select("doc_id", "text_hash", "text"), ["doc_id", "text_hash"]
+    ids = asked.select(row)
+    if small_enough(ids, BROADCAST_IDS):
+        rows = rows.join(F.broadcast(ids), row, "left_semi")
+    rows = rows.dropDuplicates(row).join(asked, row).select("text_hash", "text", "asked")
+    edges = rows.mapInArrow(_edges, "text_hash long, at int, last int, before array<int>, behind array<int>, begins array<int>, ends array<int>, of_run boolean, of_first boolean")
+    edges = staged(edges.withColumn("spot", spot("text_hash", "at", "last")).drop("text_hash", "at", "last"), "edges")
+    dropped(asked)
+    names = ("before", "behind", "begins", "ends")
+    ours = edges.where("of_run").select("spot", *names)
+    theirs = edges.where("of_first").select(F.col("spot").alias("f_spot"), *[F.col(c).alias("f_" + c) for c in names])
+    both = meet(runs.join(ours, "spot"), theirs, hot(runs, "f_spot"), "f_spot", "spot")
     both = both.select("*", alike("before", "f_before").alias("l"), alike("behind", "f_behind").alias("r"))
     both = staged(both.selectExpr("text_hash", "at - l AS at", "begins[l] AS begin", "ends[r] AS end", "last - at + l + r AS n", "f_doc", "f_text", "f_at - l AS f_at", "f_last + r AS f_last", "f_begins[l] AS f_begin", "f_ends[r] AS f_end"), "extended")
     dropped(edges)
-    dropped(asked)
     own = both.groupBy("text_hash").agg(F.collect_list(F.struct("at", "begin", "end", "n", "f_doc", "f_text", "f_at", "f_last", "f_begin", "f_end")).alias("own"))
     told = own.mapInArrow(partial(_runs, similarity=similarity), "home boolean, text_hash long, at int, begin int, end int, n int, f_doc long, f_text long, f_at int, f_last int")
     told = staged(told, "runs")
+    dropped(both)
     runs = told.where("NOT home").select("text_hash", "begin", "end", "n", F.col("f_doc").alias("first_doc"), F.col("f_text").alias("first_text"), F.col("f_at").alias("first_at"))
     # the stretches of the first documents that runs lie in; as many a text as it has words, at most
     homes = told.where("home").groupBy("f_text", "f_at").agg(F.max(F.struct("f_last", "end")).alias("far"), F.min("begin").alias("begin"), F.min("f_doc").alias("f_doc"))

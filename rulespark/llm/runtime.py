@@ -21,6 +21,8 @@ _scratch: list[list[DataFrame]] = []
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whether Spark deletes a query's shuffle files as it ends, instead of once the driver happens to collect its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession, batch_rows: int = 2000) -> None:
@@ -43,10 +45,16 @@ def ship(spark: SparkSession, batch_rows: int = 2000) -> None:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors don't matter."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors don't matter, and the
+    shuffle files of the write, which nothing reads again, go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     if _scratch:

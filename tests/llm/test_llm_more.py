@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -546,6 +547,34 @@ def test_shared_runs_by_brute_force(spark):
     assert total > 100 and missed == 0
 
 
+def test_shuffle_files_go_with_their_write(spark, monkeypatch):
+    """No table of common_runs leaves shuffle files, and no words around a run are written twice, though rows are repeated
+    and texts copied."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_([0-9]+)_", disk.getAllFiles().mkString(" ")))
+    left, edges, real = {}, [], common_runs.staged
+
+    def staged(df, label):
+        before = shuffles()
+        out = real(df, label)
+        until = time.time() + 5
+        while (own := shuffles() - before) and time.time() < until:
+            time.sleep(0.05)
+        left[label] = own
+        if label == "edges":
+            edges.extend(r["spot"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(common_runs, "staged", staged)
+    held = spark.conf.get(runtime.CLEANUP)
+    base = corpus(12, seed=33, size=80)
+    docs = [(i, f"{base[i % 12]} {base[(i + 1) % 12]}") for i in range(24)] + [(99 - i, f"{base[i]} end{i}") for i in range(12)]
+    got = substring_dedup.repeats(spark.createDataFrame(docs * 2, "doc_id long, text string").repartition(7))
+    assert got.where("kind = 'run'").count() > 20 and len(edges) == len(set(edges)) > 20
+    assert {"shared_seeds", "edges", "extended"} <= set(left) and not any(left.values()), left
+    assert spark.conf.get(runtime.CLEANUP) == held
+
+
 def test_a_paragraph_that_is_a_whole_text_elsewhere_keeps_its_links(spark):
     """Document 1 holds a paragraph's words as a whole text of short lines, of which some are left over."""
     w = [f"w{i}" for i in range(29)]
