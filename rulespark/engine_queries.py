@@ -164,8 +164,8 @@ register("bulk_base_variants", _bulk, f"SELECT p_partkey, rule_id, {_BULK_BINS}
 
 
 def _bulk_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants in the order of a sorted list, numbered."""
-    variants = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant"), F.col("p_size").alias("P_SIZE")).orderBy("variant")
+    """Variants in the order of a sorted list, numbered; a null key comes last, as in the SQL."""
+    variants = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant"), F.col("p_size").alias("P_SIZE")).orderBy(F.asc_nulls_last("variant"))
     return score_bulk(_bulk_rules(), {"P_BRAND": "Brand#55"}, variants, ordinal="variant_ord").select("variant_ord", "variant", "rule_id")
 
 

@@ -88,8 +88,16 @@ def score(rules: CompiledRules, df: DataFrame, strategy: str | None = None, on_n
     return with_outputs(rules, scored, name)
 
 
+def planned_once(df: DataFrame) -> DataFrame:
+    """``df`` with its plan run up to the last shuffle, so that every later step finds the same rows in the same partitions.
+    Else each step plans anew: a sort samples other bounds, and adaptive execution combines other partitions."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with its rows' numbers from 0, in the order of its partitions; counts of partitions are collected."""
+    df = planned_once(df)
     local = fresh("__at", df)
     given = df.withColumn(local, F.monotonically_increasing_id())
     counts = {r["p"]: r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()}

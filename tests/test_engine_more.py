@@ -5,6 +5,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from rulespark import engine_queries
 from rulespark.functions.predicates import holds
@@ -215,6 +216,24 @@ def test_ordinals_and_null_policy(spark):
     assert hits == {"R1": 2, "R2": 0}
 
 
+def test_ordinals_of_sorted_variants_in_many_partitions(spark, tmp_path):
+    """Each plan of a sort samples its own bounds; numbers must not depend on them. A null key is the last, as in the SQL."""
+    n = 20_000
+    keys = F.when(F.col("id") != 7, F.col("id") * 7919 % n)
+    spark.range(n, numPartitions=3).select(keys.alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    size = {None if i == 7 else i * 7919 % n: i % 50 for i in range(n)}
+    want = [(at, k, "V1" if 1 <= size[k] <= 12 else "V2" if 8 <= size[k] <= 40 else None) for at, k in enumerate([*sorted(k for k in size if k is not None), None])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = engine_queries.QUERIES["bulk_ordinal"](spark, str(tmp_path))
+        for _ in range(2):
+            assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == want
+        few = numbered(spark.read.parquet(f"{tmp_path}/part.parquet").orderBy(F.desc("p_size"), "p_partkey"), "at")
+        assert [r["at"] for r in few.orderBy("at").select("at").collect()] == list(range(n))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_stream_of_many_rules(spark, tmp_path):
     r = rules("RULE_ID,K,O\nRULE_ID,EQ,SET\n" + "\n".join(f"R{i},{i},{i}" for i in range(200)), K="INTEGER", O="INTEGER")
     spark.range(50).withColumnRenamed("id", "K").write.parquet(f"file://{tmp_path}/in")
